@@ -7,6 +7,7 @@ besides the batch that Spark hands over.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -197,9 +198,13 @@ def table_path(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Make ``checkpoint()`` usable: spark.checkpoint.dir, or a local folder where that is unset (tests)."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or "/tmp/checkpoints")
-    return sc.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (configured or "/tmp/checkpoints").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: short lineage, true sizes for the planner, and no loss with an executor."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round is a handful of grouped minima and joins; edges never leave the executors, and each
-round ends in a checkpoint, so that lineage stays short and a lost executor costs one round at most.
+round ends in a written table, so that lineage stays short and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import shared_folder
+from .arrowtext import cut
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -21,8 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are allowed; an empty table gives an empty one.
     """
-    shared_folder(edges.sparkSession)
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().checkpoint()
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    now = cut(now)
     before = _fingerprint(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = rest.unionByName(small.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        now = cut(rest.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         after = _fingerprint(now)
         if after == before:
             break

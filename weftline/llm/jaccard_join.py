@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import Spans, Utf8, Words, mix, shared_folder, table_path, with_columns
+from .arrowtext import Spans, Utf8, Words, cut, mix, table_path, with_columns
 from .components import connected_components
 
 ROWS, BANDS = 3, 21
@@ -345,20 +345,19 @@ def _grams_of(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``df``: doc_id, node, class_id (least id of its class), n_links (other documents at the threshold or above)."""
-    shared_folder(df.sparkSession)
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = sketch(docs, "text", ["doc_id"], size).checkpoint()
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).checkpoint()
+    rows = cut(sketch(docs, "text", ["doc_id"], size))
+    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     groups = connected_components(candidate_edges(nodes, threshold, tolerance, block))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "root").join(nodes.select("node", "rep", "copies", "sig"), "node").checkpoint()
+    members = cut(groups.join(sizes, "root").join(nodes.select("node", "rep", "copies", "sig"), "node"))
     n = members.count()
     wanted = members.select("node", "rep")
     texts = docs.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
     # a repeated row gives its set again: one of each node
     grams = _grams_of(texts, "text", size, ["node"]).groupBy("node").agg(F.first("grams").alias("grams"))
     dealt = _blocks(members.join(grams, "node"), "root", block).select("root", "lo", "hi", "side", "node", "copies", "sig", "grams")
-    checked = verify(dealt, threshold, tolerance).checkpoint()
+    checked = cut(verify(dealt, threshold, tolerance))
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.count("*").alias("parts"), F.min("root").alias("root"))
     # groups of one block are solved where they were verified; the larger ones by their star edges
     large = members.filter(F.col("n") > block).select("node")
