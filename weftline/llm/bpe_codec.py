@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import chunks, table_path, with_columns
+from .arrowtext import chunks, cut, table_path, with_columns
 
 #: Words in the lexicon.
 LEXICON_WORDS = 50_000
@@ -226,7 +226,7 @@ class Lexicon:
 
 
 def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words over all texts; ties go to the word that sorts first."""
+    """The most frequent words over all texts, at most ``most``: those above a level of frequency that depends on the counts alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = Cutter({t["content"]: t["id"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}), Counter()
@@ -246,8 +246,16 @@ def frequent_words(df: DataFrame, path: str, text: str = "text", most: int = LEX
 
     counts = df.select(F.col(text).cast("string").alias("t")).filter("t is not null").mapInArrow(count, "w string, n long")
     short = counts.filter((F.octet_length("w") <= LONGEST) & ~F.col("w").startswith("\0 "))
-    top = short.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return [r["w"] for r in top.select("w").collect()]
+    totals = cut(short.groupBy("w").agg(F.sum("n").alias("n")))
+    # a histogram of counts in eighths of powers of two, a few hundred rows at any size, shows where to cut
+    level = F.floor(F.log2("n") * 8).cast("int")
+    bound, left = None, most
+    for r in totals.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        bound = r["level"]
+    return [] if bound is None else [r["w"] for r in totals.filter(level >= bound).select("w").collect()]
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:

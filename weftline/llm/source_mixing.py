@@ -19,6 +19,7 @@ one. No row is dropped or repeated.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ from .arrowtext import table_path
 
 #: Documents in a block.
 BLOCK_ROWS = 8
-#: Rows that one ranking task is meant to sort.
-RANK_ROWS = 20_000
 #: Sources (with their shares) that the plan is made for at most; it is a literal of this size.
 MOST_SOURCES = 10_000
 
@@ -76,7 +75,7 @@ def mix_sources(df: DataFrame, shares: dict[str, int] | None = None, default_sha
         plan[n].append(t)
     period = sum(wanted.values())
     n_rows = df.select(doc_id).count()
-    ranges = max(1, -(-n_rows // RANK_ROWS))
+    ranges = math.isqrt(n_rows) + 1  # as many ranges as rows in each: neither the ranks nor the sums over ranges gather much
     # ranks inside (source, hash range), then the ranges before it
     inner = df.withColumn("__key", key).withColumn("__hash", bucket_of).withColumn("__range", F.floor((F.col("__hash") / 2.0**64 + 0.5) * ranges).cast("int"))
     before = inner.groupBy("__key", "__range").count().select("__key", "__range", (F.sum("count").over(Window.partitionBy("__key").orderBy("__range")) - F.col("count")).alias("__before"))
