@@ -279,9 +279,8 @@ class Codec:
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.vocabulary, self.lexicon = Vocabulary(path), lexicon
-        self.number: dict[str, int] = {}
-        self.ids: dict[str, str] = {}  # merged words only; the lexicon's words are looked up
-        self.tokens: dict[str, str] = {}
+        self.merged: dict[str, tuple[str, str]] = {}  # words that the lexicon lacks
+        self.listed: list[tuple[str, str] | None] = [None] * max(0, len(lexicon.first) - 1)  # the lexicon's outputs as text
 
     def _texts(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), " ".join([self.vocabulary.text[i] for i in ids])
@@ -291,18 +290,19 @@ class Codec:
         cut = [self.vocabulary.cutter.cut(t) for t in texts]
         distinct = list(set().union(*cut)) if cut else []
         found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in distinct]).tolist()
-        ids, tokens = {}, {}
-        if len(self.ids) > MOST_HELD:
-            self.ids, self.tokens = {}, {}
+        ids, tokens, listed = {}, {}, self.listed
+        if len(self.merged) > MOST_HELD:
+            self.merged = {}
         for w, k in zip(distinct, found, strict=True):
             if k >= 0:
-                ids[w], tokens[w] = self._texts(self.lexicon.ids_of(k))
+                got = listed[k]
+                if got is None:
+                    got = listed[k] = self._texts(self.lexicon.ids_of(k))
             else:
-                got = self.ids.get(w)
+                got = self.merged.get(w)
                 if got is None:
-                    got, self.tokens[w] = self._texts(self.vocabulary.merge(w))
-                    self.ids[w] = got
-                ids[w], tokens[w] = got, self.tokens[w]
+                    got = self.merged[w] = self._texts(self.vocabulary.merge(w))
+            ids[w], tokens[w] = got
         return cut, ids, tokens
 
     def decode(self, ids: list[int]) -> str:
