@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import bounded_sample, held_out, segment_sums, table_path, with_columns
+from .arrowtext import bounded_sample, held_out, table_path, with_columns
 
 BINS = 1 << 16
 SIZES = (1, 2, 3, 4)
 #: Labelled rows that learning uses at most (about; all, if there are fewer).
 LEARN_ROWS = 8_000
+#: Characters that are worked on at once.
+PIECE = 256_000
 _GAP = "\0" * (max(SIZES) - 1)
 _LETTER = regex.compile(r"\p{L}")
 
@@ -49,6 +51,18 @@ def character_bins(texts: list[str], bins: int = BINS) -> tuple[list[np.ndarray]
     return out, starts, lengths
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most PIECE characters together, one text at least."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > PIECE:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _inside(starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     """Interleaved (first, past last) positions of the n-grams that lie wholly inside each text."""
     edges = np.empty(2 * len(starts), np.int64)
@@ -64,7 +78,10 @@ class LanguageModel:
     prior: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Log-probability of each text under each language, up to a constant."""
+        """Log-probability of each text under each language, up to a constant; in pieces of bounded length."""
+        return np.concatenate([self._scores(texts[a:b]) for a, b in pieces(texts)])
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         out = np.tile(self.prior, (len(texts), 1))
         bins, starts, lengths = character_bins(texts)
         for size, b in zip(SIZES, bins, strict=True):
@@ -105,8 +122,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
             for name in dict.fromkeys(langs.tolist()):
                 own = [texts[i] for i in np.flatnonzero(langs == name)]
                 total = sums.setdefault(name, np.zeros(BINS, np.int64))
-                for i in range(0, len(own), 256):
-                    bins, starts, lengths = character_bins(own[i : i + 256])
+                for first, last in pieces(own):
+                    bins, starts, lengths = character_bins(own[first:last])
                     for size, b in zip(SIZES, bins, strict=True):
                         mark = np.zeros(len(b) + 1, np.int8)
                         edges = _inside(starts, lengths, size)
