@@ -144,13 +144,20 @@ def _sparse_rows(m: Measured) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit_logistic(index: np.ndarray, value: np.ndarray, offsets: np.ndarray, y: np.ndarray, size: int, scale: float = 30.0, rounds: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on sparse rows, by full-batch Adam; deterministic."""
     w, b = np.zeros(size), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    row = np.repeat(np.arange(len(y)), np.diff(offsets))
-    value = value.astype(np.float64) * scale
+    # the entries row by row and column by column, in single precision: sums need no copies
+    value = value.astype(np.float32) * np.float32(scale)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    order = np.argsort(index, kind="stable")
+    columns, at = np.unique(index[order], return_index=True)
+    by_column, row = value[order], np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offsets))[order]
+    del order
     first, second, fb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(row, value * w[index], len(y))
+        z = np.full(len(y), b)
+        z[full] += np.add.reduceat(value * w.astype(np.float32)[index], offsets[:-1][full])
         e = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
-        g = np.bincount(index, value * e[row], size) + ridge * w
+        g = ridge * w
+        g[columns] += np.add.reduceat(by_column * e.astype(np.float32)[row], at)
         gb = e.sum()
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         fb, sb = 0.9 * fb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
@@ -201,6 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return QualityModel(None)
     fold = (np.arange(len(got)) * 7 // 3) % 5 == 0
     parts = [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for x, v in zip(got["x"], got["v"], strict=True)]
+    del got
 
     def stacked(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [parts[k] for k in np.flatnonzero(which)]
