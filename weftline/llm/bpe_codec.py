@@ -2,8 +2,8 @@
 
 The corpus' frequent words are counted over all documents, encoded once, and compiled into an
 acyclic automaton whose equal suffixes are shared; the outputs on its edges add up to the word's
-number, under which its token ids are stored. The arrays are written to one file that Spark ships
-to every executor, where tasks memory-map it. The distinct words of a chunk walk the automaton
+number, under which its token ids are stored. The arrays are written to one file in the shared folder that Spark
+ships to every executor, where tasks memory-map it. The distinct words of a chunk walk the automaton
 together in numpy; words that it does not know are merged exactly, by the vocabulary's merges.
 
 Texts are cut as the tokenizer file says: special strings first (they are tokens of their own, as
@@ -18,9 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import chunks, cut, table_path, with_columns
+from .arrowtext import chunks, cut, shared_folder, table_path, with_columns
 
 #: Words in the lexicon.
 LEXICON_WORDS = 50_000
@@ -185,9 +184,9 @@ def compile_lexicon(words: list[bytes]) -> dict[str, np.ndarray]:
 NAMES = ("base", "accept", "owner", "target", "output", "first", "ids")
 
 
-def write_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
+def lexicon_bytes(arrays: dict[str, np.ndarray]) -> bytes:
     """One flat int32 file: the lengths of the arrays, then the arrays."""
-    np.concatenate([np.array([len(arrays[n]) for n in NAMES], np.int32), *[arrays[n].astype(np.int32) for n in NAMES]]).tofile(path)
+    return np.concatenate([np.array([len(arrays[n]) for n in NAMES], np.int32), *[arrays[n].astype(np.int32) for n in NAMES]]).tobytes()
 
 
 class Lexicon:
@@ -266,11 +265,14 @@ def ship_lexicon(spark: SparkSession, words: list[str], vocabulary: Vocabulary)
     arrays["first"] = np.cumsum([0, *map(len, ids)])
     arrays["ids"] = np.array([i for x in ids for i in x], np.int32)
     digest = hashlib.sha256(b"\0".join(b for b, _ in order)).hexdigest()[:16]
-    folder = tempfile.mkdtemp(prefix="lexicon")
-    path = os.path.join(folder, f"lexicon-{digest}-{os.path.basename(folder)}.i32")
-    write_lexicon(arrays, path)
+    name = f"lexicon-{digest}-{uuid.uuid4().hex[:8]}.i32"
+    path = f"{shared_folder(spark)}/{name}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(lexicon_bytes(arrays)))
+    out.close()
     spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    return name
 
 
 # ---------------------------------------------------------------- codec
