@@ -21,6 +21,8 @@ from ..sources.points import PointSet
 from .kmeans import too_small
 from .models import PrototypeModel
 
+#: Bytes of candidates that distributed FastPAM gathers and broadcasts at most.
+CANDIDATE_BYTES = 1 << 30
 #: Points that a driver-side distance matrix holds at most.
 LOCAL_POINTS = 12_000
 
@@ -184,9 +186,12 @@ class DistributedFastPAM:
     def fit(self, points: PointSet) -> PrototypeModel:
         df = points.df.select("rid", "features", "weight").persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            n, d = df.count(), PointSet(df).dimension() or 0
+            if n < self.k:
+                raise too_small(n, self.k)
+            if 8 * n * d > CANDIDATE_BYTES:
+                raise ValueError(f"distfastpam makes all {n} points candidates: more than {CANDIDATE_BYTES} bytes; use clara or pamae")
             _, x, _ = PointSet(df).collect()
-            if len(x) < self.k:
-                raise too_small(len(x), self.k)
             medoids: list[int] = []
             for _ in range(self.k):
                 gain = _objective_sums(df, x, x[medoids], self.metric, "build")[0]

@@ -6,7 +6,7 @@ results can be hashed.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -152,8 +152,7 @@ def parquet_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {E_SQL} SELECT count(*) AS n, round(sum(w), 6) AS mass FROM e")
 def materialized_scan(spark: SparkSession, d: str) -> DataFrame:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="points")
-    copy = P.materialize(P.PointSet(embeddings(spark, d).select("rid", "features", "weight")), folder)
+    copy = P.materialize(P.PointSet(embeddings(spark, d).select("rid", "features", "weight")), P.shared_folder(spark))
     out = copy.points.df.agg(F.count(F.lit(1)).alias("n"), r6(F.sum("weight")).alias("mass")).first()
     copy.delete()
     return spark.createDataFrame([(out["n"], out["mass"])], "n long, mass double")
@@ -586,7 +585,7 @@ def run_config(spark: SparkSession, d: str) -> DataFrame:
 def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings labelled as a stream by a fitted model."""
     model = _fitted(spark, d, weighted=False)
-    folder = tempfile.mkdtemp(prefix="stream")
+    folder = f"{P.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = embeddings(spark, d).select("rid", "features")
     source.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")

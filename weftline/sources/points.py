@@ -124,10 +124,14 @@ def synthetic(spark: SparkSession, n: int, partitions: int = 8, seed: int = 42)
     return PointSet(spark.range(0, n, 1, partitions).mapInArrow(generate, SCHEMA), n, "synthetic")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that executors share (spark.checkpoint.dir): short lineage and true sizes."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder: short lineage and true sizes for the planner."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
