@@ -414,3 +414,18 @@ def brute_force(texts: dict[int, str | None], size: int = 5, threshold: float =
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if r == b else r for k, r in root.items()}
     return {i: (root[i], links[i]) for i in ids}
+
+
+#: The same classes and numbers of links in DuckDB, from all pairs that share a shingle (ids are unique there).
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT links.b AS doc_id, reach.root FROM reach JOIN links ON links.a = reach.doc_id AND reach.root < links.b),
+cls AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id),
+deg AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM cls LEFT JOIN deg USING (doc_id)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filters.oracle()}
+    return {"op2_jaccard_join": jaccard_join.SQL, "op8_url_filters": url_filters.oracle()}
