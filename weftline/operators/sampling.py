@@ -14,6 +14,10 @@ from ..functions import randomness
 from ..functions.vectors import is_finite
 from ..sources.points import PointSet, matrix, unpack
 
+#: Samples up to this size are cut by one sort; larger ones by a histogram of 2^SLOT_BITS slices.
+SORTED_ROWS = 100_000
+SLOT_BITS = 16
+
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) from a seed and key columns."""
@@ -25,8 +29,22 @@ def bernoulli(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, m: int, seed: int) -> DataFrame:
-    """m rows uniformly at random, by the order of a hash of (seed, rid)."""
-    return df.orderBy(F.xxhash64(F.lit(int(seed)), "rid"), "rid").limit(m)
+    """m rows uniformly at random, by the order of a hash of (seed, rid).
+
+    Beyond ``SORTED_ROWS`` a histogram of the hash's range tells which slices are in as a whole; only the
+    last one is sorted, so that no task holds the sample.
+    """
+    key = F.xxhash64(F.lit(int(seed)), "rid")
+    if m <= SORTED_ROWS:
+        return df.orderBy(key, "rid").limit(m)
+    slot, left = F.shiftright(key, 64 - SLOT_BITS), m
+    for row in df.groupBy(slot.alias("slot")).count().orderBy("slot").collect():
+        if row["count"] >= left:
+            break
+        left -= row["count"]
+    else:
+        return df
+    return df.filter(slot < row["slot"]).unionByName(df.filter(slot == row["slot"]).orderBy(key, "rid").limit(left))
 
 
 def streams(df: DataFrame, probabilities: list[float], seed: int) -> DataFrame:

@@ -6,18 +6,24 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.vectors import EUCLIDEAN, Metric
-from ..operators.epsilon import core_components, mass_within
+from ..functions.vectors import EUCLIDEAN, Metric, all_finite
+from ..operators import grid
+from ..operators.epsilon import components_table, core_components, mass_within
 from ..operators.sampling import exact_sample
-from ..sources.points import PointSet
-from .models import CoreModel
+from ..sources.points import PointSet, written
+from .models import CoreModel, GridCoreModel, Model
+
+#: Bytes of candidates that are gathered and broadcast at most; beyond, the work is done in tables on a grid.
+CANDIDATE_BYTES = 256 << 20
 
 
 class DBSCANpp:
     """``min_pts`` is a mass and a point counts itself; clusters are numbered by their first core."""
 
-    def __init__(self, eps: float, min_pts: float, core_fraction: float = 1.0, metric: Metric = EUCLIDEAN, assign: str = "eps", chunk_size: int = 2000, sampling: str = "uniform", seed: int = 42):
+    def __init__(self, eps: float, min_pts: float, core_fraction: float = 1.0, metric: Metric = EUCLIDEAN, assign: str = "eps", chunk_size: int = 2000, sampling: str = "uniform", seed: int = 42, candidate_bytes: int = CANDIDATE_BYTES):
         if not eps > 0:
             raise ValueError("eps must be positive")
         if min_pts < 1:
@@ -30,13 +36,16 @@ class DBSCANpp:
             raise ValueError("sampling is 'uniform'")
         if chunk_size < 1:
             raise ValueError("chunkSize must be at least 1")
-        self.eps, self.min_pts, self.core_fraction, self.metric, self.assign, self.chunk_size, self.seed = eps, min_pts, core_fraction, metric, assign, chunk_size, seed
+        self.eps, self.min_pts, self.core_fraction, self.metric, self.assign, self.chunk_size, self.seed, self.candidate_bytes = eps, min_pts, core_fraction, metric, assign, chunk_size, seed, candidate_bytes
 
-    def fit(self, points: PointSet) -> CoreModel:
+    def fit(self, points: PointSet) -> Model:
         df = points.df.select("rid", "features", "weight").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n = points.count()
             m = max(1, min(n, math.ceil(self.core_fraction * n)))
+            d = PointSet(df).dimension() or 0
+            if 8 * m * d > self.candidate_bytes:
+                return self.fit_in_tables(df, m, n, d)
             chosen = df if m >= n else exact_sample(df, m, self.seed)
             _, candidates, _ = PointSet(chosen).collect()
             density = mass_within(df, candidates, self.eps, self.metric, self.chunk_size) if len(candidates) else np.zeros(0)
@@ -45,3 +54,16 @@ class DBSCANpp:
             return CoreModel(cores, labels, self.metric, self.eps if self.assign == "eps" else None)
         finally:
             df.unpersist()
+
+    def fit_in_tables(self, df: DataFrame, m: int, n: int, d: int) -> GridCoreModel:
+        """The same cores and labels with nothing gathered: on a grid, for norms in up to three dimensions."""
+        if not grid.Grid.fits(self.metric, d) or self.assign != "eps":
+            raise ValueError(f"{m} candidates of {d} dimensions exceed {self.candidate_bytes} bytes, and the grid needs a norm, at most three dimensions and assign 'eps'; lower coreSampleFraction")
+        cells = grid.Grid(self.eps, self.metric, d)
+        largest = df.filter(all_finite(F.col("features"))).agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0]
+        if largest is not None and largest / cells.side > grid.MOST_CELLS:
+            raise ValueError(f"coordinates up to {largest} are too large for cells of {cells.side}")
+        placed = written(cells.place(df))
+        chosen = placed if m >= n else cells.place(exact_sample(df, m, self.seed))
+        found = grid.cores(cells, placed, chosen, self.min_pts)
+        return GridCoreModel(cells, found, grid.core_labels(cells, found, components_table))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Metric
+from ..operators import grid
 from ..operators.assign import assign_cores, assign_nearest, nearest_rows, tree_label
 
 
@@ -97,3 +98,26 @@ class CoreModel(Model):
         if self.radius is not None:
             near &= np.array([bool(self.metric.within_pairs(rows[i : i + 1], self.cores[j : j + 1], self.radius)[0, 0]) for i, j in enumerate(index)], bool)
         return np.where(near, self.core_labels[index], -1)
+
+
+@dataclass
+class GridCoreModel(Model):
+    """As ``CoreModel`` with a radius, for cores that stay in tables: (rid, features, cell) and (cell, label)."""
+
+    grid: grid.Grid
+    cores: DataFrame
+    cell_labels: DataFrame
+
+    @property
+    def num_clusters(self) -> int:
+        return self.cell_labels.select("label").distinct().count()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if df.isStreaming:
+            raise ValueError("cores in tables label batches only")
+        return grid.assign(self.grid, df, self.cores, self.cell_labels)
+
+    def predict_all(self, rows: np.ndarray) -> np.ndarray:
+        rows = np.asarray(rows, float)
+        df = self.cores.sparkSession.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "i long, features array<double>")
+        return np.array([r["label"] for r in self.transform(df).orderBy("i").collect()], int)
