@@ -125,8 +125,10 @@ def test_components_by_both_ways(spark):
     rng = np.random.default_rng(2)
     x = rng.random((60, 2)) * 6
     p = points(spark, x)
-    table = epsilon.components_table(p.df, epsilon.grid_pairs(p.df, 0.8, EUCLIDEAN)).orderBy("rid").collect()
-    assert same_partition([r["component"] for r in table], epsilon.core_components(spark, x, 0.8, EUCLIDEAN).tolist())
+    for most in (0, 10_000):
+        table = epsilon.components_table(p.df, epsilon.grid_pairs(p.df, 0.8, EUCLIDEAN), most).orderBy("rid").collect()
+        assert same_partition([r["component"] for r in table], epsilon.core_components(spark, x, 0.8, EUCLIDEAN).tolist())
+    assert [r["component"] for r in epsilon.components_table(p.df, epsilon.grid_pairs(p.df, 1e-9, EUCLIDEAN)).orderBy("rid").collect()] == list(range(60))
     want = EUCLIDEAN.within_pairs(x, x, 0.8).sum(1)
     assert epsilon.mass_within(p.df, x, 0.8, EUCLIDEAN, 13).tolist() == want.tolist()
 

@@ -16,6 +16,10 @@ from .sums import ordered_sum
 
 #: Candidates that one pass answers at most.
 MOST_CANDIDATES = 100_000
+#: Edges in one row of a task's answer.
+EDGES_A_ROW = 1 << 16
+#: Edges that are solved on the driver at most; larger graphs stay in tables.
+DRIVER_EDGES = 1 << 20
 
 
 class UnionFind:
@@ -41,6 +45,20 @@ class UnionFind:
         return np.array([order[r] for r in roots], int)
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each component (``root``) after the pairs (a, b) are joined."""
+    root = root.copy()
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, after := root[root]):
+            root = after
+
+
 def mass_within(points: DataFrame, candidates: np.ndarray, radius: float, metric: Metric, chunk: int = 2000) -> np.ndarray:
     """Weight of all points within the radius of each candidate (itself included), by chunks of candidates."""
     out = np.zeros(len(candidates))
@@ -93,33 +111,46 @@ def core_components(spark, cores: np.ndarray, radius: float, metric: Metric) ->
     a spanning forest of what they saw, so that the driver receives less than one edge a core and task.
     """
     n = len(cores)
-    forest = UnionFind(n)
+    root = np.arange(n)
     if n > 1:
         shared = spark.sparkContext.broadcast(cores)
         tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 2))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            local, own = UnionFind(n), shared.value
+            own = shared.value
+            local = np.arange(n)
             for batch in batches:
                 t = batch.column(0).to_numpy()
                 rows = np.where(t % 2 == 0, t // 2, n - 1 - t // 2)
                 for s in row_blocks(len(rows), n):
-                    near = metric.within_pairs(own[rows[s]], own, radius)
-                    for i, hit in zip(rows[s].tolist(), near, strict=True):
-                        for j in np.flatnonzero(hit[i + 1 :]).tolist():
-                            local.union(i, i + 1 + j)
-            root = np.array([local.find(i) for i in range(n)])
-            linked = np.flatnonzero(root != np.arange(n))
-            yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(root[linked])], ["a", "b"])
-
-        for row in spark.range(0, n, 1, tasks).mapInArrow(scan, "a long, b long").toLocalIterator():
-            forest.union(row["a"], row["b"])
-    return forest.numbers()
-
-
-def components_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rid, component): the least id that each node reaches, by rounds of grouped minima that end in written tables."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+                    i, j = np.nonzero(metric.within_pairs(own[rows[s]], own, radius))
+                    i = rows[s][i]
+                    local = joined(local, i[i < j], j[i < j])
+            linked = np.flatnonzero(local != np.arange(n))
+            for s in range(0, len(linked), EDGES_A_ROW):
+                piece = linked[s : s + EDGES_A_ROW]
+                yield pa.RecordBatch.from_arrays([pa.array([piece.tobytes()], pa.binary()), pa.array([local[piece].tobytes()], pa.binary())], ["a", "b"])
+
+        for row in spark.range(0, n, 1, tasks).mapInArrow(scan, "a binary, b binary").toLocalIterator():
+            root = joined(root, np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64))
+        shared.unpersist()
+    return np.unique(root, return_inverse=True)[1]
+
+
+def components_table(nodes: DataFrame, edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(rid, component): the least id that each node reaches.
+
+    Up to ``driver_edges`` edges are solved at once, and their nodes come back as a table to join; more
+    of them go through rounds of grouped minima that end in written tables.
+    """
+    once = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    if once.count() <= driver_edges:
+        held = once.toArrow()
+        ids, at = np.unique(np.concatenate([held.column(k).to_numpy().astype(np.int64) for k in (0, 1)]), return_inverse=True)
+        root = ids[joined(np.arange(len(ids)), *np.split(at, 2))]
+        solved = nodes.sparkSession.createDataFrame(pa.table({"rid": ids, "least": root}))
+        return nodes.select("rid").join(solved, "rid", "left").select("rid", F.coalesce("least", "rid").alias("component"))
+    both = written(once.union(once.select("b", "a")))
     now = written(nodes.select("rid", F.col("rid").alias("component")))
     while True:
         near = both.join(now.withColumnRenamed("rid", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))

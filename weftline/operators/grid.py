@@ -66,7 +66,9 @@ class Grid:
         return [o for o in itertools.product(range(-far, far + 1), repeat=self.d) if size(gap(o)) <= self.radius * (1 + 10 * SLACK)]
 
     def around(self, cell: str, offsets: list[tuple[int, ...]]) -> Column:
-        return F.explode(F.array(*[F.array(*[F.col(cell)[k] + F.lit(x).cast("long") for k, x in enumerate(o)]) for o in offsets]))
+        # one folded literal: written out, the steps of three dimensions exceed the size of a compiled method
+        steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in offsets])
+        return F.explode(F.transform(steps, lambda o: F.zip_with(F.col(cell), o, lambda c, x: c + x)))
 
     def place(self, df: DataFrame, v: str = "features") -> DataFrame:
         """Rows with finite coordinates and their ``cell``."""

@@ -18,6 +18,8 @@ from .models import CoreModel, GridCoreModel, Model
 
 #: Bytes of candidates that are gathered and broadcast at most; beyond, the work is done in tables on a grid.
 CANDIDATE_BYTES = 256 << 20
+#: Distances that comparing all candidates with all points may take where a grid fits.
+MOST_DISTANCES = 1_000_000_000
 
 
 class DBSCANpp:
@@ -44,7 +46,7 @@ class DBSCANpp:
             n = points.count()
             m = max(1, min(n, math.ceil(self.core_fraction * n)))
             d = PointSet(df).dimension() or 0
-            if 8 * m * d > self.candidate_bytes:
+            if 8 * m * d > self.candidate_bytes or (self.grid_fits(d) and m * n > MOST_DISTANCES):
                 return self.fit_in_tables(df, m, n, d)
             chosen = df if m >= n else exact_sample(df, m, self.seed)
             _, candidates, _ = PointSet(chosen).collect()
@@ -55,9 +57,12 @@ class DBSCANpp:
         finally:
             df.unpersist()
 
+    def grid_fits(self, d: int) -> bool:
+        return grid.Grid.fits(self.metric, d) and self.assign == "eps"
+
     def fit_in_tables(self, df: DataFrame, m: int, n: int, d: int) -> GridCoreModel:
         """The same cores and labels with nothing gathered: on a grid, for norms in up to three dimensions."""
-        if not grid.Grid.fits(self.metric, d) or self.assign != "eps":
+        if not self.grid_fits(d):
             raise ValueError(f"{m} candidates of {d} dimensions exceed {self.candidate_bytes} bytes, and the grid needs a norm, at most three dimensions and assign 'eps'; lower coreSampleFraction")
         cells = grid.Grid(self.eps, self.metric, d)
         largest = df.filter(all_finite(F.col("features"))).agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0]
