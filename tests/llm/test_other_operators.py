@@ -73,6 +73,22 @@ def test_nearest_neighbours(spark):
     assert [r["vec_id"] for r in ann_search.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [i for i, _ in ann_search.brute_force(np.arange(3), vectors[:3].astype(float))[0]]
 
 
+def test_neighbours_in_sets_of_queries_and_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(1500, 6)), 1)
+    vectors[100:130] = vectors[50]  # ties: equal rows of many ids
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 50 = 0")
+    monkeypatch.setattr(ann_search, "QUERY_BYTES", 400)
+    monkeypatch.setattr(ann_search, "BLOCK_ROWS", 130)
+    got, want = {}, ann_search.brute_force(np.arange(1500), vectors)
+    for r in ann_search.nearest(df, asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert got[50] == [100, 101, 102, 103, 104] and got[100] == [50, 101, 102, 103, 104]
+
+
 def test_stopping_ratio():
     draws = (np.random.default_rng(1).normal(size=(20_000, ann_search.DIMS)) ** 2).sum(1)
     assert abs((draws <= ann_search.stopping_ratio(0.9)).mean() - 0.9) < 0.01

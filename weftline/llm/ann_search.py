@@ -7,8 +7,10 @@ builds a kd-tree on its projections; a query takes its leaves in the order of th
 distance and verifies their rows exactly. It stops when the next leaf lies so far that a row
 nearer than the present k-th would have projected closer with probability ``CONFIDENCE``.
 
-All rows are indexed, in blocks that one task holds; queries are compared in sets of a checked
-size, so that nothing that is broadcast grows beyond ``QUERY_BYTES``.
+All rows are indexed. A task builds the index of one block after another and carries each query's k
+best on, so that later blocks stop earlier and a task answers once. Queries are compared in sets of a
+checked size: nothing that is broadcast grows beyond ``QUERY_BYTES``, and of several sets each ends in
+a written table before the next is gathered.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite parts take no part,
 nor do rows of another length than most (the least of the most frequent lengths); rows with a null
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import table_path
+from .arrowtext import cut, table_path
 
 DIMS = 8
 LEAF = 64
@@ -34,6 +37,10 @@ K = 5
 CONFIDENCE = 0.9
 #: Rows of an index block, and bytes of one broadcast set of queries, at most.
 BLOCK_ROWS = 20_000
+#: Queries in one batch of a task's answers.
+ANSWER_QUERIES = 4_096
+#: Blocks that one task works through, one at a time.
+TASK_BLOCKS = 16
 QUERY_BYTES = 32 << 20
 
 
@@ -101,14 +108,13 @@ class Block:
         self.ends = np.cumsum([0, *map(len, self.tree.leaves)])
         self.ratio = stopping_ratio()
 
-    def search(self, query_id: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines) of the k best verified rows, nearest first."""
+    def search(self, query_id: int, query: np.ndarray, k: int = K, ids: np.ndarray | None = None, best: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of the k best verified rows, nearest first; those found in other blocks may be given."""
+        ids, best = (np.zeros(0, np.int64), np.zeros(0)) if ids is None else (ids, best)
         norm = math.sqrt(float(query @ query))
         unit = query / norm
         far = self.tree.distances(unit @ self.projection)
         order = np.argsort(far, kind="stable")
-        best = np.zeros(0)
-        ids = np.zeros(0, np.int64)
         step = 4
         for s in range(0, len(order), step):
             leaves = order[s : s + step]
@@ -145,48 +151,56 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, vector: str = "embedd
     n_rows = rows.count()
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     sets = max(1, -(-(size["n"] * 8 * (size["w"] or 0)) // QUERY_BYTES))
-    blocks = max(1, -(-n_rows // BLOCK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // 2_000)))
-    dealt = rows.repartition(int(blocks))
-    found = None
-    for part in range(sets):  # bounded sets of queries; one set unless they exceed QUERY_BYTES
-        own = asked.filter(F.pmod(F.xxhash64(F.lit("set"), "id"), F.lit(sets)) == part).toPandas() if size["n"] else None
-        ids = own["id"].to_numpy(np.int64) if own is not None else np.zeros(0, np.int64)
-        shared = df.sparkSession.sparkContext.broadcast((ids, np.array(own["v"].tolist(), float) if len(ids) else np.zeros((0, 1))))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = shared.value
-            if not len(query_ids):
-                return
-
-            def answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                table = pa.Table.from_batches(held).combine_chunks()
-                ids = table.column(0).to_numpy().astype(np.int64)
-                vectors = table.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                block = Block(ids, vectors)
-                q, v, c = [], [], []
-                for i, query in zip(query_ids.tolist(), queries, strict=True):
-                    got, score = block.search(i, query, k)
-                    q += [i] * len(got)
-                    v.append(got)
-                    c.append(score)
-                return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(v)), pa.array(np.concatenate(c))], ["query_id", "vec_id", "score"])
-
-            held, n = [], 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK_ROWS):
-                    piece = batch.slice(at, BLOCK_ROWS)
-                    if n and n + piece.num_rows > BLOCK_ROWS:
-                        yield answers(held)
-                        held, n = [], 0
-                    held.append(piece)
-                    n += piece.num_rows
-            if n:
-                yield answers(held)
-
-        one = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
+    tasks = max(1, -(-n_rows // (BLOCK_ROWS * TASK_BLOCKS)), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // 2_000)))
+    dealt = rows.repartition(int(tasks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if sets == 1:
+        return ranked(_search_set(dealt, asked, k)[0])
+    dealt, asked, every = cut(dealt), cut(asked), None
+    for part in range(sets):
+        found, shared = _search_set(dealt, asked.filter(F.pmod(F.xxhash64(F.lit("set"), "id"), F.lit(sets)) == part), k)
+        one = cut(ranked(found))
+        shared.unpersist()
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def _search_set(rows: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, score): for each task of ``rows`` the k best of each query, and the broadcast queries."""
+    own = asked.toPandas()
+    ids = own["id"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, np.array(own["v"].tolist(), float) if len(ids) else np.zeros((0, 1))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = shared.value
+        best: list[tuple] = [(None, None)] * len(query_ids)
+
+        def meet(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = table.column(0).to_numpy().astype(np.int64)
+            vectors = table.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            block = Block(ids, vectors)
+            for i, (own_id, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+                best[i] = block.search(own_id, query, k, *best[i])
+
+        held, n = [], 0
+        for batch in batches if len(query_ids) else ():
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                piece = batch.slice(at, BLOCK_ROWS)
+                if n and n + piece.num_rows > BLOCK_ROWS:
+                    meet(held)
+                    held, n = [], 0
+                held.append(piece)
+                n += piece.num_rows
+        if n:
+            meet(held)
+            for s in range(0, len(best), ANSWER_QUERIES):
+                some = best[s : s + ANSWER_QUERIES]
+                q = np.repeat(query_ids[s : s + ANSWER_QUERIES], [len(v) for v, _ in some])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([v for v, _ in some])), pa.array(np.concatenate([c for _, c in some]))], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(search, "query_id long, vec_id long, score double"), shared
 
 
 def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
