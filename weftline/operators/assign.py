@@ -20,7 +20,7 @@ from ..sources.points import matrix
 
 LITERAL_VALUES = 8
 #: Bytes of one block of distances in a kernel.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def ranked(features: Column, prototypes: np.ndarray, metric: Metric) -> Column:
