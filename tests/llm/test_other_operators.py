@@ -89,6 +89,24 @@ def test_neighbours_in_sets_of_queries_and_small_blocks(spark, monkeypatch):
     assert got[50] == [100, 101, 102, 103, 104] and got[100] == [50, 101, 102, 103, 104]
 
 
+def test_large_groups_of_equal_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(4000, 24))
+    copies = np.sort(rng.permutation(4000)[:1500])
+    vectors[copies] = vectors[copies[0]] * rng.choice([1.0, 2.0, 3.0, 0.7], size=(1500, 1))  # equal and parallel
+    ids = np.arange(4000) + 1
+    twice = int(ids[copies[0]])
+    own = [(twice, vectors[copies[0]].tolist())] * 12  # an id many times
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)] + own, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann_search, "BLOCK_ROWS", 500)
+    asked = [twice, *ids[copies[[3, 700, 1400]]].tolist()]
+    got = {}
+    for r in ann_search.nearest(df, df.filter(F.col("vec_id").isin(asked)).dropDuplicates(["vec_id"])).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    least = sorted([*ids[copies].tolist(), *[twice] * 12])
+    assert got == {q: [i for i in least if i != q][:5] for q in asked}
+
+
 def test_stopping_ratio():
     draws = (np.random.default_rng(1).normal(size=(20_000, ann_search.DIMS)) ** 2).sum(1)
     assert abs((draws <= ann_search.stopping_ratio(0.9)).mean() - 0.9) < 0.01

@@ -5,7 +5,9 @@ Vectors are scaled to length one (the largest cosine is then the least distance)
 the squared distance follows a chi-square law with ``DIMS`` degrees of freedom. Each block of rows
 builds a kd-tree on its projections; a query takes its leaves in the order of their projected
 distance and verifies their rows exactly. It stops when the next leaf lies so far that a row
-nearer than the present k-th would have projected closer with probability ``CONFIDENCE``.
+nearer than the present k-th would have projected closer with probability ``CONFIDENCE``, rounding
+allowed for (``SLACK``). Equal vectors of a block are indexed once, with as many of their least ids as
+any query can need, so that large groups of copies neither hide each other nor cost a visit each.
 
 All rows are indexed. A task builds the index of one block after another and carries each query's k
 best on, so that later blocks stop earlier and a task answers once. Queries are compared in sets of a
@@ -15,7 +17,8 @@ a written table before the next is gathered.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite parts take no part,
 nor do rows of another length than most (the least of the most frequent lengths); rows with a null
 id are no queries and no answers; repeated ids are rows of their own, but a query never meets rows
-with its own id; ties go to the smaller id; fewer candidates than k give all of them.
+with its own id; ties (cosines that agree to ``TIE_DECIMALS`` decimals: equal and parallel vectors
+differ in the last bits) go to the smaller id; fewer candidates than k give all of them.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ ANSWER_QUERIES = 4_096
 #: Blocks that one task works through, one at a time.
 TASK_BLOCKS = 16
 QUERY_BYTES = 32 << 20
+#: Rounding of squared projected distances and of cosines that the stop and the filter allow for.
+SLACK = 1e-9
+TIE_DECIMALS = 12
 
 
 def chi_square_below(x: float, dims: int) -> float:
@@ -94,17 +100,31 @@ class KdTree:
 class Block:
     """The index of one block of rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.lexsort((ids,))
-        ids, vectors = ids[order], vectors[order]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = K):
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         self.projection = projections(vectors.shape[1])
-        unit = vectors / norms[:, None]
-        projected = unit @ self.projection
+        unit = vectors / norms[:, None] + 0.0  # -0.0 becomes 0.0
+        _, first, group = np.unique(unit.view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        # the members that a query can need: an id k times at most, and k besides those of the query's own id
+        order = np.lexsort((ids, group))
+        ids, group = ids[order], group[order]
+        own = np.ones(len(ids), bool)
+        own[1:] = (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])
+        repeat = np.arange(len(ids)) - np.flatnonzero(own)[np.cumsum(own) - 1]
+        ids, group = ids[repeat < k], group[repeat < k]
+        starts = np.searchsorted(group, np.arange(len(first)))
+        needed = np.arange(len(ids)) - starts[group] < 2 * k
+        ids, group = ids[needed], group[needed]
+        projected = unit[first] @ self.projection
         self.tree = KdTree(projected)
-        # rows in leaf order: a leaf is a slice
+        # distinct vectors in leaf order: a leaf is a slice; the ids of vector i are members[first[i]:first[i + 1]]
         at = np.concatenate(self.tree.leaves)
-        self.ids, self.vectors, self.norms, self.unit, self.projected = ids[at], vectors[at], norms[at], unit[at], projected[at]
+        self.vectors, self.norms, self.unit = vectors[first[at]], norms[first[at]], unit[first[at]]
+        place = np.empty(len(at), np.int64)
+        place[at] = np.arange(len(at))
+        order = np.lexsort((ids, place[group]))
+        self.members = ids[order]
+        self.first = np.searchsorted(place[group][order], np.arange(len(at) + 1))
         self.ends = np.cumsum([0, *map(len, self.tree.leaves)])
         self.ratio = stopping_ratio()
 
@@ -118,20 +138,20 @@ class Block:
         step = 4
         for s in range(0, len(order), step):
             leaves = order[s : s + step]
-            if len(best) == k and far[leaves[0]] > self.ratio * max(2 - 2 * best[-1], 0):
+            if len(best) == k and far[leaves[0]] > self.ratio * max(2 - 2 * best[-1], 0) + SLACK:
                 break
             at = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in leaves])
-            at = at[self.ids[at] != query_id]
-            close = self.unit[at] @ unit
             if len(best) == k:
-                near = close >= best[-1] - 1e-9
-                at = at[near]
+                at = at[self.unit[at] @ unit >= best[-1] - SLACK]
             if not len(at):
                 continue
             # the exact measure on the original vectors
             score = np.array([float(self.vectors[i] @ query) for i in at]) / (self.norms[at] * norm) if len(at) < 16 else (self.vectors[at] @ query) / (self.norms[at] * norm)
-            best, ids = np.concatenate([best, score]), np.concatenate([ids, self.ids[at]])
-            first = np.lexsort((ids, -best))[:k]
+            many = self.first[at + 1] - self.first[at]
+            members = self.members[np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            other = members != query_id
+            best, ids = np.concatenate([best, np.repeat(score, many)[other]]), np.concatenate([ids, members[other]])
+            first = np.lexsort((ids, -np.round(best, TIE_DECIMALS)))[:k]
             best, ids = best[first], ids[first]
         return ids, best
 
@@ -153,7 +173,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, vector: str = "embedd
     sets = max(1, -(-(size["n"] * 8 * (size["w"] or 0)) // QUERY_BYTES))
     tasks = max(1, -(-n_rows // (BLOCK_ROWS * TASK_BLOCKS)), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // 2_000)))
     dealt = rows.repartition(int(tasks))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DECIMALS)), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     if sets == 1:
         return ranked(_search_set(dealt, asked, k)[0])
@@ -180,7 +200,7 @@ def _search_set(rows: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, B
             table = pa.Table.from_batches(held).combine_chunks()
             ids = table.column(0).to_numpy().astype(np.int64)
             vectors = table.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            block = Block(ids, vectors)
+            block = Block(ids, vectors, k)
             for i, (own_id, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
                 best[i] = block.search(own_id, query, k, *best[i])
 
