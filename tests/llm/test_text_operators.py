@@ -81,6 +81,18 @@ def test_one_document_of_each_class_stays(docs):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, (c, _) in want.items() if c == i)
 
 
+def test_classes_without_own_ids_stay_apart(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, b + " tail"), (1, c), (1, d), (1, d), (2, d), (3, e), (None, e), (3, f), (None, None), (3, "")]
+    kept = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(r["doc_id"], r["text"]) for r in kept]
+    chosen = [x for x in got if x in [(None, b), (None, b + " tail")]]  # one class of three rows without an id
+    assert len(chosen) == 1
+    assert sorted(map(str, got)) == sorted(map(str, [(None, a), *chosen, (1, c), (1, d), (3, e), (3, f), (None, None), (3, "")]))
+
+
 def test_pruning_bounds():
     least = jaccard_join.least_matches(0.8, 1e-6)
     assert least[0] == 0 and all(a <= b for a, b in zip(least, least[1:], strict=False)) and least[63] < 0.8 * 63

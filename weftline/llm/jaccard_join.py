@@ -344,7 +344,7 @@ def _grams_of(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``df``: doc_id, node, class_id (least id of its class), n_links (other documents at the threshold or above)."""
+    """One row for each row of ``df``: doc_id, node, root (of its class: unique, unlike ids), class_id (least id of its class), n_links (other documents at the threshold or above)."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = cut(sketch(docs, "text", ["doc_id"], size))
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
@@ -370,18 +370,21 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         roots = linked.select("node", "root").join(alone, "node", "left").join(joined, "node", "left").select("node", F.coalesce("joined", "own", "root").alias("root"))
     placed = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(linked.select("node", "links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = placed.join(classes, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = placed.join(classes, "root").select("node", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return rows.select("doc_id", "node").join(known, "node", "left").select(
-        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``df`` with the document of least id of each class; rows without words all stay."""
+    """``df`` with the document of least id (then least node) of each class; rows without words all stay.
+
+    A class is known by its root: classes without an id, or with the same least id, are classes of their own.
+    """
     from pyspark.sql import Window
 
     found = near_duplicates(df, text, doc_id, size, threshold)
-    chosen = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node"))
+    chosen = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("class_id").alias("class_id"), F.min("node").alias("node"))
     order, names = df.columns, {c: f"c{i}" for i, c in enumerate(df.columns)}
     inner = df.toDF(*names.values())
     own_id, own_text = names[doc_id], names[text]
