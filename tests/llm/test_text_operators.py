@@ -273,6 +273,18 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert none.score(["idiot", ""]).tolist() == [0, 0]
 
 
+def test_rare_short_and_stem_terms(spark):
+    rng = random.Random(13)
+    calm, rows = [f"calm{k}" for k in range(40)], []
+    for i in range(6000):
+        bad = [] if i % 2 else ["vilesnout"] if i % 200 == 0 else [rng.choice(["scum", "idiot", "moron"]), f"grobian{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}"]
+        rows.append((i, " ".join(rng.sample(calm, 8) + bad), 1 - i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df, df.select("doc_id", "toxic"))
+    scores = model.score(["calm1 calm2 vilesnout", "calm1 skum scmu scun", "calm1 gorbianzz grobbianqq grbianxx", "calm1 calm2"])
+    assert (scores >= toxicity.TOXIC_AT).tolist() == [True, True, True, False], scores
+
+
 def test_arrow_columns_replace_clashing_names(docs):
     out = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
     assert out.columns == [c for c in docs.columns if c != "n_tokens"] + ["n_bytes", "n_tokens"]

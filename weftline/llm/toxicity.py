@@ -2,7 +2,8 @@
 
 The lexicon (whole terms and word stems) is learned from labelled rows by document counts. The
 Levenshtein automata of all terms are intersected with the lexicon's trie once, by subset
-construction, into one deterministic table; all words of a chunk then walk that table together in
+construction, into one deterministic table (terms and stems of ``NEAR_FROM`` letters or more whose
+neighbourhood clean documents leave free); all words of a chunk then walk that table together in
 numpy. A word next to the lexicon that clean documents use is put into the trie as clean. Each hit
 is weighed by its context window: quotation marks around it or words of report speak for quotation,
 the second person, exclamation marks and further hits for abuse. A small logistic model on rows
@@ -33,7 +34,10 @@ from .quality_rules import calibrate, fit_logistic
 LEARN_ROWS = 6_000
 MOST_TERMS = 600
 TOXIC_AT = 0.3
-FUZZY_FROM = 5  # letters that a term needs before misspellings of it count
+FUZZY_FROM = 5  # letters that a term needs before misspellings of it count, where no labels tell more
+NEAR_FROM = 4  # the same for learned terms and stems, whose clean neighbours are known
+#: Different clean words one edit away beyond which a term or stem is matched to the letter.
+CROWDED = 25
 STEMS = (4, 5, 6, 7, 8)
 WINDOW_WORDS, WINDOW_CHARS = 6, 60
 QUOTES = frozenset("\"“”„«»‹›‘’")
@@ -94,9 +98,10 @@ def build_automaton(terms: list[str], stems: list[str], clean: list[str] = (), f
     """Term numbers: ``terms`` first, then ``stems``. ``clean`` words are never hits.
 
     Misspellings (one letter put in, left out or changed, or two neighbours swapped) count for terms
-    in ``firm`` (default: all) of FUZZY_FROM letters or more.
+    in ``firm`` (default: those of FUZZY_FROM letters or more) and at the head of words for stems in it (default: none).
     """
-    fuzzy_terms = {t for t in (terms if firm is None else firm) if len(t) >= FUZZY_FROM}
+    fuzzy_terms = {t for t in terms if len(t) >= FUZZY_FROM} if firm is None else firm
+    fuzzy_stems = firm or set()
     alphabet = {ch: k + 2 for k, ch in enumerate(sorted(set("".join([*terms, *stems, *clean]))))}
     children: list[dict[int, int]] = [{}]
     ends: list[dict[str, int]] = [{}]  # node -> kind -> term
@@ -121,17 +126,20 @@ def build_automaton(terms: list[str], stems: list[str], clean: list[str] = (), f
         if t in fuzzy_terms:
             add(t, "fuzzy", i, True)
     for i, t in enumerate(stems):
-        add(t, "stem", len(terms) + i, False)
+        add(t, "stem", len(terms) + i, t in fuzzy_stems)
+        if t in fuzzy_stems:
+            add(t, "near", len(terms) + i, True)
     for t in clean:
         add(t, "clean", -1, False)
 
     def closed(states: set) -> frozenset:
         out = set(states)
         for node, errors in states:
-            if errors == 0:  # a letter left out; stems are matched exactly
+            if errors == 0:  # a letter left out
                 out |= {(child, 1) for child in children[node].values() if longest[child]}
             if errors == 0 and "stem" in ends[node]:
                 out.add((ends[node]["stem"], "stem"))
+        out |= {(ends[node]["near"], "near") for node, errors in out if errors == 1 and "near" in ends[node]}
         return frozenset(out)
 
     def accepted(states: frozenset) -> tuple[int, int]:
@@ -144,7 +152,7 @@ def build_automaton(terms: list[str], stems: list[str], clean: list[str] = (), f
         stem = [n for n, e in states if e == "stem"]
         if stem:
             return min(stem), 0
-        near = [ends[n]["fuzzy"] for n, e in states if e == 1 and "fuzzy" in ends[n]]
+        near = [ends[n]["fuzzy"] for n, e in states if e == 1 and "fuzzy" in ends[n]] + [n for n, e in states if e == "near"]
         return (min(near), 1) if near else (-1, 0)
 
     start = closed({(0, 0)})
@@ -155,7 +163,7 @@ def build_automaton(terms: list[str], stems: list[str], clean: list[str] = (), f
         base: set = set()
         by_class: dict[int, set] = {}
         for node, errors in states:
-            if errors == "stem":
+            if errors in ("stem", "near"):
                 base.add((node, errors))
                 continue
             if isinstance(errors, tuple):  # the second letter of two that are swapped
@@ -197,7 +205,7 @@ class ToxicModel:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     clean: list[str] = field(default_factory=list)
-    firm: list[str] = field(default_factory=list)  # the terms whose misspellings count
+    firm: list[str] = field(default_factory=list)  # the terms and stems whose misspellings count
     value: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each term, then each stem
     weights: np.ndarray | None = None
     bias: float = 0.0
@@ -269,20 +277,27 @@ def _document_counts(used: DataFrame) -> DataFrame:
     return used.mapInArrow(count, "kind string, word string, toxic long, clean long").groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _close(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of ``words`` one edit from a term: such pairs agree in the term's first half or in its last letters."""
-    head = F.expr("left(term, int(length(term) / 2))")
-    keys = terms.select("term", F.explode(F.array(F.struct(F.lit("a").alias("side"), head.alias("part")), F.struct(F.lit("z").alias("side"), F.expr("right(term, length(term) - int(length(term) / 2))").alias("part")))).alias("key")).select("term", "key.*", F.length("key.part").alias("n"))
-    sizes = sorted({(r["side"], r["n"]) for r in keys.select("side", "n").distinct().collect()})
-    part = F.array(*[F.struct(F.lit(side).alias("side"), F.expr(f"{'left' if side == 'a' else 'right'}(word, {n})").alias("part")) for side, n in sizes])
-    split = words.select("*", F.explode(part).alias("key")).select("word", "toxic", "clean", F.col("key.side").alias("side"), F.col("key.part").alias("part"))
-    return split.join(F.broadcast(keys.drop("n")), ["side", "part"]).filter(F.levenshtein("word", "term") == 1).select("word", "toxic", "clean").distinct()
+def _misspelled(words: DataFrame, model: ToxicModel) -> DataFrame:
+    """(word, toxic, clean, term): rows of ``words`` that the model's automaton takes for misspellings, and of which term."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            codes = np.frombuffer(("\n".join(own) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+            first, _, term, distance, _ = shared.value.automaton().hits(codes)
+            at = np.searchsorted(np.cumsum([0, *(len(w) + 1 for w in own)]), first, "right") - 1
+            found = pa.array(at[distance == 1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(found) for k in range(3)), pa.array(term[distance == 1], pa.int32())], ["word", "toxic", "clean", "term"])
+
+    return words.select("word", "toxic", "clean").mapInArrow(search, "word string, toxic long, clean long, term int")
 
 
-def _needed(toxic: DataFrame, words: list, stems: list, least: int) -> tuple[list, list]:
+def _needed(toxic: DataFrame, words: list, stems: list, least: int, least_sure: int = 2) -> tuple[list, list]:
     """The words and stems that explain toxic documents which better ones don't (greedy, each document up to three times).
 
-    Words that merely share documents with real terms (long documents, copies) drop out here.
+    Words that merely share documents with real terms (long documents, copies) drop out here. A word must
+    explain ``least`` more documents, ``least_sure`` if its counts are significant.
     """
     number = {r["word"]: k for k, r in enumerate(words)}
     prefix = {r["word"]: len(words) + k for k, r in enumerate(stems)}
@@ -303,11 +318,13 @@ def _needed(toxic: DataFrame, words: list, stems: list, least: int) -> tuple[lis
     common = max(8, len(docs) // 10)  # no chance word is in a tenth of all toxic documents
     chosen = [k for k, r in enumerate([*words, *stems]) if r["toxic"] >= common]
     need = 3 - has[:, chosen].sum(1)
+    wanted = np.array([least_sure if r["sure"] else least for r in [*words, *stems]])
     while has.shape[1]:
         gain = (has & (need > 0)[:, None]).sum(0)
         gain[chosen] = 0
+        gain[gain < wanted] = 0
         best = int((gain * worth).argmax())
-        if gain[best] < least:
+        if not gain[best]:
             break
         chosen.append(best)
         need -= has[:, best]
@@ -329,25 +346,30 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         counts = _document_counts(first.select("y", "t")).persist()
         rate = F.col("toxic") / n[1] / ((F.col("clean") + 0.5) / (n[0] + 1))
         support, firm = max(3, n[1] // 80), max(4, n[1] // 33)
-        good = counts.filter((F.col("toxic") >= support) & (rate >= 20)).withColumn("rate", rate).orderBy(F.desc("toxic"), "kind", "word").limit(4 * MOST_TERMS).collect()
-        words = [r for r in good if r["kind"] == "w"][:MOST_TERMS]
-        stems: list = []
-        for r in sorted((r for r in good if r["kind"] == "s" and r["toxic"] >= firm and r["clean"] * 100 <= r["toxic"]), key=lambda r: (len(r["word"]), r["word"])):
-            if not any(r["word"].startswith(s["word"]) for s in stems):
+        # significant: of all words and stems less than one is expected to lean so far to toxic documents by chance
+        share, both = n[1] / (n[0] + n[1]), F.col("toxic") + F.col("clean")
+        lean = F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0)
+        good = counts.filter((F.col("toxic") >= 3) & (rate >= 20)).withColumn("rate", rate).withColumn("sure", lean >= float(np.log(max(2, counts.count()))))
+        words = good.filter((F.col("kind") == "w") & (F.col("sure") | (F.col("toxic") >= support))).orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()
+        heads = good.filter((F.col("kind") == "s") & (F.col("sure") | (F.col("toxic") >= firm)) & (F.col("clean") * 100 <= F.col("toxic"))).collect()  # words of the sample at most
+        known, stems = {r["word"] for r in heads}, []
+        for r in sorted(heads, key=lambda r: (-r["toxic"], r["word"])):
+            if not any(r["word"][:k] in known for k in STEMS if k < len(r["word"])):
                 stems.append(r)
         words, stems = _needed(first.filter("y = 1"), words, stems[:MOST_TERMS], max(2, n[1] // 300))
         # terms that too few documents show are matched to the letter
-        model = ToxicModel([r["word"] for r in words], [r["word"] for r in stems], firm=[r["word"] for r in words if r["toxic"] >= max(8, n[1] // 50)])
+        near = [r["word"] for r in words if (r["sure"] or r["toxic"] >= max(8, n[1] // 50)) and len(r["word"]) >= NEAR_FROM]
+        model = ToxicModel([r["word"] for r in words], [r["word"] for r in stems], firm=[*near, *(r["word"] for r in stems if r["sure"])])
         model.value = np.array([np.log(r["rate"]) for r in [*words, *stems]])
         # words that clean documents use within one edit of a term are no misspellings of it
-        terms = [t for t in model.firm if len(t) >= FUZZY_FROM]
-        if terms:
-            table = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")  # MOST_TERMS rows at most
-            used_words = counts.filter((F.col("kind") == "w") & (F.col("clean") > 0) & (F.length("word") >= FUZZY_FROM - 1))
-            near = _close(used_words, table)
+        if model.firm:
             own = set(model.terms)
-            clean = near.filter(F.col("toxic") / n[1] < 5 * F.col("clean") / n[0]).select("word").distinct().orderBy("word").limit(10 * MOST_TERMS).collect()
-            model.clean = [r["word"] for r in clean if r["word"] not in own]
+            used_words = counts.filter((F.col("kind") == "w") & (F.col("clean") > 0) & (F.col("toxic") / n[1] < 5 * F.col("clean") / n[0]))
+            names = [*model.terms, *model.stems]
+            crowded = {names[r["term"]] for r in _misspelled(used_words, model).groupBy("term").count().filter(F.col("count") > CROWDED).collect()}
+            model.firm, model._automaton = [t for t in model.firm if t not in crowded], None
+            model.clean = sorted({r["word"] for r in _misspelled(used_words, model).select("word").collect()} - own)  # CROWDED of each term at most
+            model._automaton = None
         counts.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
