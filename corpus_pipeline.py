@@ -29,15 +29,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
-    return source_mixing.mixed_order(docs, shares=source_mixing.SHARES)
+    """All documents, in the order of the mixture, which slot and place carry on."""
+    return source_mixing.mixed_order(docs, places=True, shares=source_mixing.SHARES)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the digests of each text's tokens."""
+    """doc_id, source, slot and place in the mixture, and the digests of each text's tokens."""
     import public_tokenizers
 
-    return bpe_codec.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "source"])
+    return bpe_codec.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "source", "slot", "place"])
 
 
 STAGES = [

@@ -126,6 +126,16 @@ def test_registered_queries():
     assert set(queries.oracle_sql()) <= names
 
 
+def test_the_mixture_reaches_the_pipelines_result(spark, monkeypatch):
+    before = spark.read.parquet(f"{SF}/documents.parquet")
+    shares = {"src0": 1, "src1": 7}
+    monkeypatch.setattr(source_mixing, "SHARES", shares)
+    out = {r["doc_id"]: (r["slot"], r["place"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    kept = before.filter(F.col("doc_id").isin(list(out)))
+    place = lambda s: {r["doc_id"]: (r["slot"], r["place"]) for r in source_mixing.mix_sources(kept, s).collect()}
+    assert out == place(shares) != place({}) and len(set(out.values())) == len(out)
+
+
 def test_pipeline_stages_follow_their_decisions(spark):
     from weftline.llm import arrowtext, bpe_codec, jaccard_join, secret_scan, toxicity
 

@@ -88,12 +88,13 @@ def mix_sources(df: DataFrame, shares: dict[str, int] | None = None, default_sha
     return placed.withColumn("block", block).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "block", "place")], slot.cast("long").alias("slot"), "block", (F.col("__at") % block_rows).cast("int").alias("place"))
 
 
-def mixed_order(df: DataFrame, **options) -> DataFrame:
-    """The rows and columns of ``df``, in files that follow each other in the mixture's order."""
+def mixed_order(df: DataFrame, places: bool = False, **options) -> DataFrame:
+    """The rows and columns of ``df``, in files that follow each other in the mixture's order; with ``places`` also slot and place."""
     inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     mixed = mix_sources(inner, source=names[options.pop("source", "source")], doc_id=names[options.pop("doc_id", "doc_id")], **options)
-    return mixed.orderBy("slot", "place").select(*names.values()).toDF(*df.columns)
+    carried = ["slot", "place"] if places else []  # readers need not keep the order of files
+    return mixed.orderBy("slot", "place").select(*names.values(), *carried).toDF(*df.columns, *carried)
 
 
 #: Shares of the production mixture; other sources have one share.
