@@ -121,6 +121,14 @@ def test_language_on_held_out_rows(spark, empty):
     assert language_id.learn(empty).predict(["abc"])[0] == ["und"]
 
 
+def test_rare_languages_are_learned_from_large_tables(spark):
+    rng = random.Random(14)
+    say = lambda g: " ".join(rng.choice(LINES[g].split()) for _ in range(20))
+    df = spark.createDataFrame([(i, say(g), g) for i, g in enumerate(["aa"] * 3000 + ["bb"] * 1000 + ["cc"] * 2)], "doc_id long, text string, lang string")
+    model = language_id.learn(df, rows=40)
+    assert model.languages == ["aa", "bb", "cc"] and model.predict([say("cc"), say("bb"), say("aa")])[0] == ["cc", "bb", "aa"]
+
+
 def test_language_scores_equal_plain_sums():
     rng = np.random.default_rng(0)
     model = language_id.LanguageModel(["a", "b"], rng.normal(size=(language_id.BINS, 2)).astype(np.float32), np.zeros(2))

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import bounded_sample, held_out, table_path, with_columns
+from .arrowtext import hash_fraction, held_out, table_path, with_columns
 
 BINS = 1 << 16
 SIZES = (1, 2, 3, 4)
-#: Labelled rows that learning uses at most (about; all, if there are fewer).
+#: Labelled rows of each language that learning uses at most (about; all, if there are fewer).
 LEARN_ROWS = 8_000
 #: Characters that are worked on at once.
 PIECE = 256_000
@@ -110,9 +110,10 @@ class LanguageModel:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = LEARN_ROWS) -> LanguageModel:
-    """Learn from rows with a text and a language; ``rows`` bounds how many are used, chosen by the hash of the id."""
+    """Learn from rows with a text and a language; ``rows`` bounds how many of each language are used, chosen by the hash of the id."""
     known = labelled.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).filter("t is not null and l is not null")
-    used = bounded_sample(known, "i", rows).select("l", "t")
+    sizes = known.groupBy("l").agg(F.count("*").alias("n"))  # a row for each language, as the model's matrix has a column
+    used = known.join(F.broadcast(sizes), "l").filter((F.col("n") <= rows) | (hash_fraction("i") * F.col("n") < rows)).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
