@@ -107,6 +107,45 @@ def test_large_groups_of_equal_vectors(spark, monkeypatch):
     assert got == {q: [i for i in least if i != q][:5] for q in asked}
 
 
+def test_scores_do_not_depend_on_neighbours_in_a_block():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 33))
+    v[100:137] = v[0]
+    v[200:230] = v[0] * rng.choice([2.0, 0.25, 8.0], size=(30, 1))
+    alone = np.array([ann_search.cosines(x[None], v[0])[0] for x in v])
+    assert (ann_search.cosines(v, v[0]) == alone).all() and (alone[100:137] == 1.0).all() and (alone[200:230] == 1.0).all()
+    for block in (500, 120, 17):
+        ids = best = None
+        for s in range(0, 500, block):
+            ids, best = ann_search.Block(np.arange(s, min(s + block, 500)), v[s : s + block]).search(0, v[0], 5, ids, best)
+        assert ids.tolist() == [100, 101, 102, 103, 104] and (best == 1.0).all()
+
+
+def test_recall_on_clustered_vectors_and_ids_as_text(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(40, 64))
+    vectors = (centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 64))).astype(np.float32)
+    monkeypatch.setattr(ann_search, "BLOCK_ROWS", 900)
+    df = spark.createDataFrame([(f"v{i:05d}", v.tolist(), i) for i, v in enumerate(vectors)], "`vec.id` string, embedding array<float>, query_id int")
+    got = {}
+    for r in ann_search.nearest(df, df.filter("query_id % 50 = 0"), vec_id="vec.id").collect():
+        got.setdefault(int(r["query_id"][1:]), set()).add(int(r["vec_id"][1:]))
+    want = ann_search.brute_force(np.arange(4000), vectors.astype(float))
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_the_tree_finds_all_leaves_in_reach():
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(3000, 4))
+    tree = ann_search.KdTree(points, 16)
+    assert sorted(np.concatenate(tree.leaves)) == list(range(3000))
+    for q in rng.normal(size=(20, 4)):
+        found, far = tree.within(q, 0.5)
+        inside = set(np.concatenate([tree.leaves[i] for i in found])) if len(found) else set()
+        assert set(np.flatnonzero(((points - q) ** 2).sum(1) <= 0.5)) <= inside and (np.diff(far) >= 0).all()
+        assert tree.home(q) in tree.within(q, np.inf)[0]
+
+
 def test_stopping_ratio():
     draws = (np.random.default_rng(1).normal(size=(20_000, ann_search.DIMS)) ** 2).sum(1)
     assert abs((draws <= ann_search.stopping_ratio(0.9)).mean() - 0.9) < 0.01
