@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -207,22 +208,44 @@ def test_transducer_numbers_its_words(tmp_path):
     assert len(arrays["base"]) < sum(len(w.encode()) for w in words) / 2
 
 
+def digests(ids, decoded):
+    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def test_encoding_and_decoding_equal_the_library(spark, docs, empty, texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(PATH)
     out = bpe_codec.encode_decode(docs, PATH)
-    got = by_text(out, "ids", "decoded")
+    got, hashed = by_text(out, "ids", "decoded"), by_text(bpe_codec.encode_digests(docs, PATH), *bpe_codec.DIGEST.names)
     for t in texts:
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert got[t] == (ids, library.decode(ids, skip_special_tokens=False))
+        assert hashed[t] == digests(*got[t])
     assert out.count() == docs.count() and bpe_codec.encode_digests(empty, PATH).count() == 0
+    # odd strings, and code points of all planes, assigned or not
     rng = random.Random(9)
     bits = ["a", "B", " ", "\n", "İ", "Σ", "e\u0301", "😀", "<|endoftext|>", "<|End", "\x1c", "\x85", "中文", "1", "²", "'s", "'LL", "...", "don't", "ǅ", "\0", "क्षि", "<|", "|>"]
     many = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 10))) for _ in range(4000)]
-    made = bpe_codec.encode_decode(spark.createDataFrame([(t,) for t in many], "text string"), PATH, words=["a", "the"]).collect()
+    points = [*rng.sample([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], 3000), *range(0x80, 0x600), 0x58B, 0x88F, 0xC5C, 0x1C89, 0x180E, 0x200B, *range(0x2000, 0x200B)]
+    many += [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)}!{chr(c)}\u0301x" for c in points]
+    made = bpe_codec.encode_digests(spark.createDataFrame([(t,) for t in many], "text string"), PATH, words=["a", "the"]).collect()
     for r in made:
-        assert r["ids"] == library.encode(r["text"], add_special_tokens=False).ids
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        assert tuple(r[1:]) == digests(ids, library.decode(ids, skip_special_tokens=False)), repr(r["text"])
+
+
+def test_long_texts_are_worked_on_in_parts(monkeypatch):
+    text = "".join(random.Random(3).choice(["word ", "don't\n", "\x1c", "é\u0301", "  ", "<|endoftext|>"]) for _ in range(3000))
+    whole = list(bpe_codec.pieces(text))
+    monkeypatch.setattr(bpe_codec, "SEGMENT", 100)
+    parts = list(bpe_codec.pieces(text))
+    assert len(whole) == 1 and len(parts) > 20 and [p for x in parts for p in x] == whole[0]
+
+
+def test_files_that_cut_otherwise_are_refused():
+    with pytest.raises(ValueError):
+        bpe_codec.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 # ---------------------------------------------------------------- toxicity
