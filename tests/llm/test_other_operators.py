@@ -159,6 +159,23 @@ def test_components(spark):
     assert components.connected_components(df.filter("false")).count() == 0
 
 
+def test_stars_are_split_between_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_EDGES", 5)
+    rng = np.random.default_rng(2)
+    edges = [(500, i) for i in range(300)] + [(int(a), int(b)) for a, b in rng.integers(600, 900, (200, 2))]
+    root = {i: i for i in {x for e in edges for x in e}}
+    for _ in range(2000):
+        after = dict(root)
+        for a, b in edges:
+            after[a] = after[b] = min(after[a], after[b])
+        if after == root:
+            break
+        root = after
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {k: v for k, v in root.items() if k not in alone}
+
+
 def test_registered_queries():
     names = set(__spark_entry__.queries())
     assert set(queries.queries()) | {"pipeline"} <= names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.queries()}

@@ -68,10 +68,32 @@ def test_hot_groups_are_dealt_in_blocks(spark):
         rows.append((i, " ".join(words)))
     rows += [(100 + i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(30))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    # two more families in the buckets of the first, near its copies and not
+    for f, changed in ((200, 14), (300, 60)):
+        other = [w if k >= changed else f"y{f}-{k}" for k, w in enumerate(base)]
+        rows += [(f + i, " ".join([*other[:50], f"q{i}", *other[51:]])) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     want = jaccard_join.brute_force(dict(rows))
+    kept = sorted(i for i, (c, _) in want.items() if c == i)
     for block in (8, 1024):
         got = jaccard_join.near_duplicates(df, block=block).collect()
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
+        assert sorted(r["doc_id"] for r in jaccard_join.keep_one_of_each(df, block=block).collect()) == kept
+
+
+def test_large_groups_that_no_pivot_reaches(spark):
+    """A chain: neighbours are near copies, distant ones are not."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_join.brute_force(dict(rows))
+    for limit in (jaccard_join.BLOCK_BYTES, 4_000):  # blocks by nodes, and by bytes
+        before, jaccard_join.BLOCK_BYTES = jaccard_join.BLOCK_BYTES, limit
+        try:
+            assert sorted(r["doc_id"] for r in jaccard_join.keep_one_of_each(df, block=6).collect()) == sorted(i for i, (c, _) in want.items() if c == i) == [0]
+            assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df, block=6).collect()} == want
+        finally:
+            jaccard_join.BLOCK_BYTES = before
 
 
 def test_one_document_of_each_class_stays(docs):

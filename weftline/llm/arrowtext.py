@@ -7,6 +7,8 @@ besides the batch that Spark hands over.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -198,13 +200,41 @@ def table_path(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or "/tmp/checkpoints").rstrip("/")
+    """This application's folder in spark.checkpoint.dir, which all executors share; Hadoop deletes it when the driver ends.
+
+    In local mode a folder of this machine will do where the setting is missing; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/weftline-checkpoints"
+    folder = f"{base.rstrip('/')}/llm-{context.applicationId}"
+    if folder not in _ends_with_driver:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _ends_with_driver.add(folder)
+    return folder
+
+
+_ends_with_driver: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: short lineage, true sizes for the planner, and no loss with an executor."""
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same with the table's path, for :func:`remove` once nothing reads it any more."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,8 +8,11 @@
 3. What is left links nodes to candidate groups; inside a group every pair that survives the same
    test is verified exactly on the whole sets, as counts of shared n-grams.
 
-Pairs are never written out. Buckets and groups of over ``BLOCK`` nodes are dealt to tasks as pairs
-of blocks, so that no task gathers a whole hot group; the tasks give counts of links and star edges.
+Pairs are never written out, and no task gathers a whole hot group. To join the nodes of a bucket or
+group of over ``BLOCK`` nodes (or ``BLOCK_BYTES`` of sets), each block meets itself and a few pivots of the
+group; only nodes that the best pivot does not reach meet all others, as pairs of blocks. So a group of
+copies of one text moves once, not once for each block. Numbers of links need all pairs of a group: only
+where they are asked for do large groups go out as all pairs of blocks.
 
 Defined cases: a text with 1 to n-1 words has one n-gram, all its words; a null text or one without
 words is in no group (its class is its own id, without links); rows that repeat an id are counted
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,10 @@ ROWS, BANDS = 3, 21
 VALUES = ROWS * BANDS
 STEP = 9
 BLOCK = 1024
+#: Bytes of n-gram sets that a block holds, about.
+BLOCK_BYTES = 48 << 20
+#: Pivots of a large group.
+PIVOTS = 4
 #: Nodes to verify that may be broadcast (about 60 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 300_000
 
@@ -89,8 +96,8 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, text: str, keep: list[str], size: int, minhash: bool = True) -> DataFrame:
-    """``keep`` columns, node (null without words) and, with ``minhash``, sig (16-bit values) and bands."""
-    schema = T.StructType([T.StructField("node", T.BinaryType())] + minhash * [T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """``keep`` columns, node (null without words) and, with ``minhash``, size (n-grams), sig (16-bit values) and bands."""
+    schema = T.StructType([T.StructField("node", T.BinaryType())] + minhash * [T.StructField("size", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def make():
         def kernel(texts: pa.Array) -> list[pa.Array]:
@@ -104,6 +111,7 @@ def sketch(df: DataFrame, text: str, keep: list[str], size: int, minhash: bool =
             has = full.tolist()
             return [
                 pa.array(nodes, pa.binary()),
+                pa.array(np.diff(offsets), pa.int64()),
                 pa.array([short[r].tobytes() if f else None for f, r in zip(has, row.tolist(), strict=True)], pa.binary()),
                 pa.array([bands[r] if f else None for f, r in zip(has, row.tolist(), strict=True)], pa.list_(pa.int64())),
             ]
@@ -174,13 +182,48 @@ def _pairs(lo: int, hi: int, side: np.ndarray, at: int, most: int = 1 << 20) ->
         yield a + at, b + at
 
 
-def _blocks(df: DataFrame, key: str, block: int) -> DataFrame:
-    """Rows of a key with ``n`` > block nodes, once for each pair of blocks that they belong to."""
-    many = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(5), "node"), many).cast("int")
-    with_own = df.withColumn("many", many).withColumn("side", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
-    return with_own.withColumn("other", other).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("many", "other", "n")
+def _part(salt: int, parts) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "node"), parts).cast("int")
+
+
+def _all_pairs(df: DataFrame) -> DataFrame:
+    """Rows of groups of ``many`` blocks, once for each pair of blocks (lo, hi) that their own block (side) belongs to."""
+    with_own = df.withColumn("side", _part(5, F.col("many"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    return with_own.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).withColumn("pivot", F.lit(-1)).drop("many", "other")
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Rows of groups of one block."""
+    return df.drop("many").withColumns({"side": F.lit(0), "lo": F.lit(0), "hi": F.lit(0), "pivot": F.lit(-1)})
+
+
+def _spanning(hot: DataFrame, key: str, scan) -> DataFrame:
+    """Star edges (u, v) that join what the links inside each group of (key, many, node, ...) join.
+
+    ``scan`` gives (key, node, root, pivots): the least linked node inside what it was dealt, and a bit for each pivot of the same star.
+    """
+    hot = cut(hot)
+    heads = hot.groupBy(key, _part(6, F.lit(PIVOTS)).alias("pivot")).agg(F.min("node").alias("node"))
+    pivots = hot.join(heads, [key, "node"]).withColumn("side", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    members = hot.withColumn("side", _part(5, F.col("many"))).withColumn("pivot", F.lit(-1))
+    blocks = members.unionByName(pivots).drop("many").withColumn("lo", F.col("side")).withColumn("hi", F.col("side"))
+    first = cut(scan(blocks))
+    bits = [F.sum(F.shiftright("pivots", k).bitwiseAND(1)) for k in range(PIVOTS)]
+    best = first.groupBy(key).agg(F.array(*bits).alias("n"), F.count("*").alias("all")).select(key, F.expr("cast(array_position(n, array_max(n)) - 1 as int)").alias("best"))
+    # the copies of a pivot in other blocks are the same node
+    apart = first.join(best, key).groupBy(key, "node").agg(F.max(F.expr("shiftright(pivots, best) & 1")).alias("near"))
+    rest = cut(apart.filter("near = 0").select(key, "node"))
+    edges = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if rest.isEmpty():
+        return edges
+    left = rest.groupBy(key).agg(F.count("*").alias("m"))
+    rows = hot.join(left, key).join(rest.withColumn("far", F.lit(True)), [key, "node"], "left").withColumn("own", F.ceil(F.col("m") * F.col("many") / F.greatest("m", F.col("n"))).cast("int"))
+    far = rows.filter("far").withColumn("side", _part(7, F.col("own")))
+    among = far.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") + F.col("many") - 1)))
+    main = rows.filter("far is null").withColumn("side", F.col("own") + _part(8, F.col("many"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    met = among.unionByName(main).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).withColumn("pivot", F.lit(-1))
+    second = cut(scan(met.drop("many", "m", "far", "own", "other")))
+    return edges.unionByName(second.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -220,18 +263,24 @@ def _starts(table: pa.Table, keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = BLOCK) -> DataFrame:
-    """Star edges (u, v) between nodes whose pairs survive pruning in some band."""
-    bands = nodes.select("node", F.explode("bands").alias("key"))
-    counts = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = _blocks(bands.join(counts, "key").join(nodes.select("node", "sig"), "node"), "key", block)
-    dealt = met.select("key", "lo", "hi", "side", "node", "sig").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    least = least_matches(threshold, tolerance)
+def _reached(pivot: np.ndarray, root: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each row of the groups that begin at ``starts`` the bits of the pivots in its star."""
+    group = np.searchsorted(starts, np.arange(len(root)), "right") - 1
+    out = np.zeros(len(root), np.int32)
+    for at in np.flatnonzero(pivot >= 0).tolist():
+        a = starts[group[at]]
+        b = starts[group[at] + 1] if group[at] + 1 < len(starts) else len(root)
+        out[a:b][root[a:b] == root[at]] |= 1 << int(pivot[at])
+    return out
+
+
+def _meetings(least: list[int], every: bool):
+    """A scan of buckets: nodes whose pairs survive pruning; those without a link too, if ``every``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 3):
-            sig, node = _fixed(table.column(5), VALUES, np.uint16), table.column(4).to_pylist()
-            side, lo, hi = (table.column(k).to_numpy() for k in (3, 1, 2))
+            sig, node = _fixed(table.column(6), VALUES, np.uint16), table.column(5).to_pylist()
+            side, lo, hi, pivot = (table.column(k).to_numpy() for k in (3, 1, 2, 4))
             starts = _starts(table, 3)
             ends = np.append(starts[1:], table.num_rows)
             left, right = [], []
@@ -256,10 +305,25 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
                         survive(a, b)
             a, b = np.concatenate(left or [index[:0]]), np.concatenate(right or [index[:0]])
             root = local_roots(table.num_rows, a, b)
-            linked = np.flatnonzero(root != index)
-            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in linked.tolist()], pa.binary()), pa.array([node[i] for i in root[linked].tolist()], pa.binary())], ["u", "v"])
+            given = index if every else np.flatnonzero(root != index)
+            reached = _reached(pivot, root, starts)[given]
+            yield pa.RecordBatch.from_arrays(
+                [table.column(0).combine_chunks().take(pa.array(given)), pa.array([node[i] for i in given.tolist()], pa.binary()), pa.array([node[i] for i in root[given].tolist()], pa.binary()), pa.array(reached, pa.int32())], ["key", "node", "root", "pivots"]
+            )
 
-    return dealt.mapInArrow(run, "u binary, v binary")
+    return lambda met: met.select("key", "lo", "hi", "side", "pivot", "node", "sig").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "key long, node binary, root binary, pivots int")
+
+
+def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = BLOCK) -> DataFrame:
+    """Star edges (u, v) between nodes whose pairs survive pruning in some band."""
+    bands = nodes.select("node", F.explode("bands").alias("key"))
+    counts = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = bands.join(counts, "key").join(nodes.select("node", "sig"), "node").withColumn("many", F.ceil(F.col("n") / block).cast("int"))
+    least = least_matches(threshold, tolerance)
+    edges = _meetings(least, False)(_whole(met.filter(F.col("n") <= block))).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if counts.filter(F.col("n") > block).isEmpty():
+        return edges
+    return edges.unionByName(_spanning(met.filter(F.col("n") > block), "key", _meetings(least, True)))
 
 
 # ---------------------------------------------------------------- exact verification
@@ -297,17 +361,17 @@ def exact_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold:
 
 
 def verify(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(node, root, links): from rows (root, lo, hi, side, node, copies, sig, grams) the links of each node and a star edge."""
+    """(key, node, root, pivots, links): from rows (key, lo, hi, side, pivot, node, copies, sig, grams) a star edge and the links of each node."""
     least = least_matches(threshold, tolerance)
-    dealt = members.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
+    dealt = members.select("key", "lo", "hi", "side", "pivot", "node", "copies", "sig", "grams").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 3):
-            node = table.column(4).to_pylist()
-            sig, copies = _fixed(table.column(6), VALUES, np.uint16), table.column(5).to_numpy()
-            sets = [np.frombuffer(g, np.uint64) for g in table.column(7).to_pylist()]
+            node = table.column(5).to_pylist()
+            sig, copies = _fixed(table.column(7), VALUES, np.uint16), table.column(6).to_numpy()
+            sets = [np.frombuffer(g, np.uint64) for g in table.column(8).to_pylist()]
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            side, lo, hi = (table.column(k).to_numpy() for k in (3, 1, 2))
+            side, lo, hi, pivot = (table.column(k).to_numpy() for k in (3, 1, 2, 4))
             starts = _starts(table, 3)
             links, root = np.zeros(len(node), np.int64), np.arange(len(node))
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
@@ -323,9 +387,10 @@ def verify(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
                 a, b = np.concatenate(left or [root[:0]]), np.concatenate(right or [root[:0]])
                 links[s:e] = np.bincount(a, copies[s + b], e - s) + np.bincount(b, copies[s + a], e - s)
                 root[s:e] = local_roots(e - s, a, b) + s
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([node[r] for r in root.tolist()], pa.binary()), pa.array(links, pa.int64())], ["node", "root", "links"])
+            reached = _reached(pivot, root, starts)
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(node, pa.binary()), pa.array([node[r] for r in root.tolist()], pa.binary()), pa.array(reached, pa.int32()), pa.array(links, pa.int64())], ["key", "node", "root", "pivots", "links"])
 
-    return dealt.mapInArrow(run, "node binary, root binary, links long")
+    return dealt.mapInArrow(run, "key binary, node binary, root binary, pivots int, links long")
 
 
 def _grams_of(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame:
@@ -343,56 +408,70 @@ def _grams_of(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame
     return with_columns(df, text, schema, make, keep=keep, extra=["node"]).filter("grams is not null")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``df``: doc_id, node, root (of its class: unique, unlike ids), class_id (least id of its class), n_links (other documents at the threshold or above)."""
+def _classes(df: DataFrame, text: str, doc_id: str, size: int, threshold: float, tolerance: float, block: int, links: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row, and for each node its rep (least id), copies, root and, if asked for, links to other nodes' documents."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = cut(sketch(docs, "text", ["doc_id"], size))
-    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    groups = connected_components(candidate_edges(nodes, threshold, tolerance, block))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = cut(groups.join(sizes, "root").join(nodes.select("node", "rep", "copies", "sig"), "node"))
-    n = members.count()
+    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "sig", "bands")]))
+    groups = cut(connected_components(candidate_edges(nodes, threshold, tolerance, block)).withColumnRenamed("root", "key").join(nodes.select("node", "rep", "copies", "size", "sig"), "node"))
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    blocks = sizes.select("key", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("int").alias("many"))
+    members = cut(groups.join(blocks, "key").drop("size"))
     wanted = members.select("node", "rep")
-    texts = docs.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
+    texts = docs.join(F.broadcast(wanted) if members.count() <= MOST_BROADCAST else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
     # a repeated row gives its set again: one of each node
     grams = _grams_of(texts, "text", size, ["node"]).groupBy("node").agg(F.first("grams").alias("grams"))
-    dealt = _blocks(members.join(grams, "node"), "root", block).select("root", "lo", "hi", "side", "node", "copies", "sig", "grams")
-    checked = cut(verify(dealt, threshold, tolerance))
-    linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.count("*").alias("parts"), F.min("root").alias("root"))
-    # groups of one block are solved where they were verified; the larger ones by their star edges
-    large = members.filter(F.col("n") > block).select("node")
+    dealt = members.drop("rep").join(grams, "node")
+    scan = lambda part: verify(part, threshold, tolerance)
+    large = members.filter("many > 1").select("node")
     if large.isEmpty():
-        roots = linked.select("node", "root")
+        linked = cut(scan(_whole(dealt))).select("node", "root", "links")
     else:
-        edges = checked.join(large, "node", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        joined = connected_components(edges).withColumnRenamed("root", "joined")
-        alone = large.select("node", F.col("node").alias("own"))
-        roots = linked.select("node", "root").join(alone, "node", "left").join(joined, "node", "left").select("node", F.coalesce("joined", "own", "root").alias("root"))
-    placed = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(linked.select("node", "links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = placed.join(classes, "root").select("node", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "node").join(known, "node", "left").select(
+        dealt = cut(dealt)
+        # groups of one block are solved where they are verified; the larger ones by their star edges
+        small, hot = cut(scan(_whole(dealt.filter("many = 1")))), dealt.filter("many > 1")
+        if links:
+            checked = cut(scan(_all_pairs(hot)))
+            edges = checked.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            counted = checked.groupBy("node").agg(F.sum("links").alias("links"))
+        else:
+            edges, counted = _spanning(hot, "key", scan), large.withColumn("links", F.lit(0).cast("long"))
+        joined = connected_components(edges)
+        linked = small.select("node", "root", "links").unionByName(counted.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links"))
+    known = nodes.select("node", "rep", "copies").join(linked, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.select("doc_id", "node"), known
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """One row for each row of ``df``: doc_id, node, root (of its class: unique, unlike ids), class_id (least id of its class), n_links (other documents at the threshold or above)."""
+    rows, known = _classes(df, text, doc_id, size, threshold, tolerance, block, True)
+    classes = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    placed = known.join(classes, "root").select("node", "root", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    return rows.join(placed, "node", "left").select(
         "doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
-def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8) -> DataFrame:
+def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
     """``df`` with the document of least id (then least node) of each class; rows without words all stay.
 
     A class is known by its root: classes without an id, or with the same least id, are classes of their own.
+    Links are not counted, so that a large group is verified against pivots and no farther than its class is known.
+    Of rows that repeat an id and a text the first by all columns stays.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(df, text, doc_id, size, threshold)
-    chosen = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("class_id").alias("class_id"), F.min("node").alias("node"))
+    _, known = _classes(df, text, doc_id, size, threshold, tolerance, block, False)
+    # the least id is its node's rep; nulls come last
+    chosen = known.groupBy("root").agg(F.min_by(F.struct("rep", "node"), F.struct(F.col("rep").isNull(), "rep", "node")).alias("k")).select(F.col("k.rep").alias("k"), F.col("k.node").alias("kn"))
     order, names = df.columns, {c: f"c{i}" for i, c in enumerate(df.columns)}
     inner = df.toDF(*names.values())
     own_id, own_text = names[doc_id], names[text]
     marked = sketch(inner, own_text, list(names.values()), size, minhash=False)
     none = marked.filter("node is null").drop("node")
-    one = marked.filter("node is not null").join(chosen.select(F.col("class_id").alias("k"), F.col("node").alias("kn")), F.col(own_id).eqNullSafe(F.col("k")) & (F.col("node") == F.col("kn")))
-    first = one.withColumn("r", F.row_number().over(Window.partitionBy(own_id, "node").orderBy(own_text))).filter("r = 1")
-    return first.select(*names.values()).unionByName(none.select(*names.values())).toDF(*order)
+    # repeated rows go before anything moves (a limit for each group in the window's own partitions), then the classes' others
+    sortable = [F.xxhash64(f.name) for f in inner.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = marked.filter("node is not null").withColumn("r", F.row_number().over(Window.partitionBy(own_id, "node").orderBy(own_text, *sortable))).filter("r = 1")
+    one = first.join(chosen, F.col(own_id).eqNullSafe(F.col("k")) & (F.col("node") == F.col("kn")), "left_semi")
+    return one.select(*names.values()).unionByName(none.select(*names.values())).toDF(*order)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
