@@ -16,6 +16,20 @@ def test_urls_equal_brute_force(spark):
     got = url_filters.filter_urls(df).orderBy("page_id").collect()
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [url_filters.brute_force(u) for u in urls + urls[:3]]
     assert url_filters.filter_urls(df.filter("false")).count() == 0
+    clash = df.toDF("c1", "c0", "__url").withColumn("fit", F.lit(1)).withColumn("__rule", F.lit("a")).withColumn("Rule", F.lit("b"))
+    made = url_filters.filter_urls(clash, "c0").orderBy("c1").collect()
+    assert made[0].__fields__ == ["c1", "c0", "__url", "fit", "__rule", "host", "path", "rule", "verdict"] and all(r["__rule"] == "a" and r["__url"] == "mine" for r in made)
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in made] == [url_filters.brute_force(u) for u in urls + urls[:3]]
+
+
+def test_urls_equal_the_sql(spark):
+    import duckdb
+
+    urls = ["http://a.org/login", "http://a.org/login\n", "http://a.org/login\r\n", "http://a.org/login?", "http://a.org/robots.txt\n", "http://a.org/x?print=1\n", "http://a.org/pixel.gif", None, "http://x.casino.y/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = df.toArrow()
+    want = duckdb.sql(url_filters.oracle()).order("page_id").fetchall()
+    assert pages.num_rows == len(urls) and [tuple(r) for r in url_filters.filter_urls(df).drop("url").orderBy("page_id").collect()] == want
 
 
 def test_rules_are_filed_under_rare_tokens(spark):
@@ -35,6 +49,25 @@ def test_pfair_deviates_by_less_than_one_block():
             assert all(abs(seen[x] - t * w / total) < 1 for x, w in shares.items())
 
 
+def test_mixing_equals_plain_scheduling(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i if i % 9 else None if i % 2 else 7, None if i % 13 == 0 else f"s{int(rng.integers(0, 4)) ** 2}") for i in range(400)]
+    shares = {"s0": 6, "s1": 3, "s4": 9}
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    for default in (1, 3):  # 3: a common divisor
+        got = Counter((*r,) for r in source_mixing.mix_sources(df, shares, default, block_rows=3).collect())
+        assert got == Counter((*r, *at) for r, at in zip(rows, source_mixing.brute_force(rows, shares, default, 3), strict=True))
+    assert source_mixing.planned({"a": 2_000_000, "b": 1_000_000}) == ({"a": [0, 1], "b": [2]}, 3)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", i, -i, "r", i, 2.0 * i) for i in range(50)], "doc_id long, source string, `key` int, hash int, `range` string, __hash long, `at` double")
+    out = source_mixing.mix_sources(df)
+    assert out.columns == [*df.columns, "slot", "block", "place"] and sorted(map(tuple, out.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    again = source_mixing.mix_sources(out)
+    assert again.columns == out.columns and sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
+
+
 def test_mixing_keeps_every_row(spark, docs, empty):
     rows = docs.unionByName(docs)
     mixed = source_mixing.mix_sources(rows, {"src0": 3}, block_rows=2)

@@ -9,7 +9,8 @@ Host rules (host, path prefix, verdict) fit a host and its subdomains; the longe
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no host rule and
 is allowed unless a pattern rule blocks it (a null one is always allowed); repeated rows are judged
-each for itself; other columns stay, those named like an output column are replaced.
+each for itself; an empty table gives an empty one; other columns stay whatever their names are, those
+named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import drop_clashing, table_path
+from .arrowtext import table_path
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern``: a regular expression on the lower-case URL that Java and RE2 read alike; ``tokens``: runs of [a-z0-9] that every match contains, not touched by other such characters."""
+    """``pattern``: a regular expression on the lower-case URL that Java and RE2 read alike (``\\z`` for the end: ``$`` also stands before a last line break in Java); ``tokens``: runs of [a-z0-9] that every match contains, not touched by other such characters."""
 
     name: str
     verdict: str
@@ -54,18 +55,18 @@ HOST_RULES = (
 )
 #: The usual forms of advertising, tracking and unwanted paths; allow rules win over block rules.
 PATTERN_RULES = (
-    PatternRule("ads-path", "block", r"/ads/(banner|frame|img)(/|$)", ("ads",)),
+    PatternRule("ads-path", "block", r"/ads/(banner|frame|img)(/|\z)", ("ads",)),
     PatternRule("ad-host", "block", r"://([a-z0-9-]+\.)*adserver\.", ("adserver",)),
-    PatternRule("click-track", "block", r"/click/track([/?#]|$)", ("click", "track")),
-    PatternRule("pixel", "block", r"/pixel\.gif([?#]|$)", ("pixel", "gif")),
-    PatternRule("utm-spam", "block", r"[?&]utm_campaign=spam(&|#|$)", ("utm", "campaign", "spam")),
+    PatternRule("click-track", "block", r"/click/track([/?#]|\z)", ("click", "track")),
+    PatternRule("pixel", "block", r"/pixel\.gif([?#]|\z)", ("pixel", "gif")),
+    PatternRule("utm-spam", "block", r"[?&]utm_campaign=spam(&|#|\z)", ("utm", "campaign", "spam")),
     PatternRule("casino", "block", r"[./-]casino[./-]", ("casino",)),
     PatternRule("session-id", "block", r"[?&;]phpsessid=[a-z0-9]+", ("phpsessid",)),
-    PatternRule("tracker-ref", "block", r"[?&]page=[0-9]+&ref=x(&|#|$)", ("page", "ref", "x")),
-    PatternRule("print-view", "block", r"[?&]print=(1|true)(&|#|$)", ("print",)),
-    PatternRule("login", "block", r"/login([/?#]|$)", ("login",)),
+    PatternRule("tracker-ref", "block", r"[?&]page=[0-9]+&ref=x(&|#|\z)", ("page", "ref", "x")),
+    PatternRule("print-view", "block", r"[?&]print=(1|true)(&|#|\z)", ("print",)),
+    PatternRule("login", "block", r"/login([/?#]|\z)", ("login",)),
     PatternRule("org-docs", "allow", r"://([a-z0-9-]+\.)*example\.org/(en|de|fr|es)/", ("example", "org")),
-    PatternRule("robots", "allow", r"/robots\.txt$", ("robots", "txt")),
+    PatternRule("robots", "allow", r"/robots\.txt\z", ("robots", "txt")),
 )
 
 
@@ -129,13 +130,23 @@ def pattern_verdict(url: Column, rules: tuple[PatternRule, ...], filed: dict[str
 
 def filter_urls(df: DataFrame, url: str = "url", host_rules: tuple[HostRule, ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
     """``df`` with host, path, rule (name of the host rule, else null) and verdict (its verdict, else the patterns')."""
-    filed = rarest_tokens(df, url, pattern_rules)
-    u = F.col(f"`{url}`")
-    kept = [c for c in drop_clashing(df, ["host", "path", "rule", "verdict"]).columns]
-    parts = df.select(*[F.col(f"`{c}`") for c in kept], host_of(u).alias("host"), path_of(u).alias("path"), u.alias("__url"))
-    found = parts.withColumn("__rule", host_rule(F.col("host"), F.col("path"), host_rules))
-    verdict = F.when(F.col("__rule").isNotNull(), F.col("__rule.verdict")).otherwise(F.coalesce(pattern_verdict(F.col("__url"), pattern_rules, filed), F.lit("allow")))
-    return found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("__rule.name").alias("rule"), verdict.alias("verdict"))
+    # positional names inside: no column of the input can clash with one in the making
+    names = [f"c{i}" for i in range(len(df.columns))]
+    inner, u = df.toDF(*names), F.col(names[_place(df, url)])
+    filed = rarest_tokens(inner.select(u.alias("u")), "u", pattern_rules)
+    taken = ("host", "path", "rule", "verdict")
+    kept = [(n, c) for n, c in zip(names, df.columns, strict=True) if c.lower() not in taken]
+    parts = inner.select(*names, host_of(u).alias("host"), path_of(u).alias("path"))
+    found = parts.withColumn("fit", host_rule(F.col("host"), F.col("path"), host_rules))
+    verdict = F.when(F.col("fit").isNotNull(), F.col("fit.verdict")).otherwise(F.coalesce(pattern_verdict(u, pattern_rules, filed), F.lit("allow")))
+    out = found.select(*[n for n, _ in kept], "host", "path", F.col("fit.name").alias("rule"), verdict.alias("verdict"))
+    return out.toDF(*[c for _, c in kept], *taken)
+
+
+def _place(df: DataFrame, name: str) -> int:
+    """The number of the column, by its exact name or else as Spark finds it."""
+    same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return same[0]
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,5 +182,5 @@ def brute_force(url: str | None) -> tuple[str, str, str | None, str]:
     if fit:
         best = max(fit, key=lambda r: len(r.name))
         return host, path, best.name, best.verdict
-    hits = [r.verdict for r in PATTERN_RULES if re.search(r.pattern, (url or "").translate(lower))]
+    hits = [r.verdict for r in PATTERN_RULES if re.search(r.pattern.replace(r"\z", r"\Z"), (url or "").translate(lower))]
     return host, path, None, "allow" if "allow" in hits or "block" not in hits else "block"
