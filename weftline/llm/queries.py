@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join.SQL, "op8_url_filters": url_filters.oracle(), "op9_source_mixing": source_mixing.oracle([f"src{i}" for i in range(20)])}
+    return {"op1_secret_scans": secret_scan.oracle(), "op2_jaccard_join": jaccard_join.SQL, "op8_url_filters": url_filters.oracle(), "op9_source_mixing": source_mixing.oracle([f"src{i}" for i in range(20)])}

@@ -279,6 +279,34 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_pattern(rule: Rule) -> str:
+    """The rule for RE2: letters of either case spelled out, since RE2 would fold letters beyond ASCII too."""
+    either = lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1])
+    return re.sub(r"\(\?ai:([^)]*)\)", lambda m: f"(?:{either(m)})", rule.pattern)
+
+
+def oracle(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> str:
+    """The query's rows in DuckDB, every rule on every text: starts are sums of what lies between the matches and the matches before."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    every = []
+    for k, r in enumerate(rules):
+        # runs of one class: those long enough are the same with the length in the pattern, and there are fewer of them
+        p = q(f"{r.pattern[:-1]}{{{r.least},}}" if re.fullmatch(r"\[[^\]]+\]\+", r.pattern) else _sql_pattern(r))
+        every.append(f"SELECT r, {k} AS k, {q(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {r.group}) AS g, regexp_split_to_array(t, {p}) AS p FROM d")
+    kinds = ", ".join(q(r.kind) for r in base)
+    joined = lambda cond: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER ({cond}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {q(r.kind)}) AS n_{r.kind}" for r in base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(every)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (SELECT r, k, kind, least, length(g[i]) AS n, length(m[i]) AS w,
+  list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM i),
+f AS (SELECT r, k, kind, CAST(a AS BIGINT) AS a, CAST(a + w AS BIGINT) AS b FROM s WHERE n >= least)
+SELECT doc_id, {counts}, sha256({joined(f"kind IN ({kinds})")}) AS base_sha256, {joined("kind IS NOT NULL")} AS spans
+FROM d LEFT JOIN f USING (r) GROUP BY r, doc_id"""
+
+
 def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     """What the scan must give for one text, by running every rule on it."""
     found = []
