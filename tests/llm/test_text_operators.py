@@ -186,6 +186,26 @@ def test_quality_learns_and_calibrates(spark, empty):
     out = quality_rules.judge_quality(df.filter(arrowtext.held_out("doc_id")), model).collect()
     assert sum(r["kept"] == bool(r["y"]) for r in out) >= 0.97 * len(out)
     assert quality_rules.learn(empty, train.withColumnRenamed("y", "quality").drop("text")).weights is None
+    # ids as text, and one id many times
+    named = train.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    many = named.unionByName(named.filter("doc_id = 'd1'").crossJoin(spark.range(50).select()))
+    again = quality_rules.learn(many, named.withColumnRenamed("y", "quality").drop("text"))
+    assert (again.probability(quality_rules.Measured(pa.array(["calm1 river2 letter3 " * 9, "zzqx1 ##2 buy!!3 " * 9]))) >= quality_rules.KEEP_AT).tolist() == [True, False]
+
+
+def test_quality_features_in_slices(monkeypatch):
+    rng = random.Random(16)
+    texts = pa.array(["".join(rng.choice("abé中😀 \n") for _ in range(rng.randint(0, 60))) for _ in range(40)])
+    model = quality_rules.QualityModel(np.random.default_rng(1).normal(size=(quality_rules.PARTS, quality_rules.BINS)).astype(np.float32))
+    whole, rows = model.raw(quality_rules.Measured(texts)), quality_rules._sparse_rows(quality_rules.Measured(texts))
+    monkeypatch.setattr(quality_rules, "SLICE", 7)
+    assert model.raw(quality_rules.Measured(texts)) == pytest.approx(whole)
+    assert [x.tolist() for x, _ in quality_rules._sparse_rows(quality_rules.Measured(texts))] == [x.tolist() for x, _ in rows]
+    assert whole == pytest.approx([model.weights.ravel()[x] @ v for x, v in rows], abs=1e-5)
+    # each text by itself, and as many n-grams as its characters give
+    assert whole == pytest.approx([model.raw(quality_rules.Measured(texts.slice(i, 1)))[0] for i in range(40)])
+    made = [(part, int(np.diff(offsets)[0])) for part, _, offsets in quality_rules.Measured(pa.array(["aé中😀b" * 4])).features()]
+    assert sum(n for p, n in made if p == 2) == 18 and sum(n for p, n in made if p == 3) == 16
 
 
 # ---------------------------------------------------------------- tokens
@@ -321,6 +341,8 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     scored = toxicity.score_toxicity(docs, model)
     assert scored.count() == docs.count() and scored.filter("score is null or score < 0 or score > 1").isEmpty()
     assert toxicity.score_toxicity(empty, model).count() == 0
+    named = toxicity.learn(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert (named.score(["calm you idiot moron", "calm words"]) >= toxicity.TOXIC_AT).tolist() == [True, False]
     none = toxicity.learn(df, labels.filter("toxic = 0"))
     assert none.score(["idiot", ""]).tolist() == [0, 0]
 

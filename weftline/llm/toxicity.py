@@ -11,7 +11,8 @@ that the lexicon has not seen turns the sums into a probability.
 
 Defined cases: a null text is an empty one and gets the score of a text without hits; without
 labelled rows of both classes the score is 0 everywhere; labels that contradict each other on one
-id count as 1; repeated rows are scored alike.
+id count as 1; ids are of any type; repeated rows are scored alike; other columns stay, those named
+like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import bounded_sample, held_out, table_path, with_columns
+from .arrowtext import bounded_sample, chunks, hash_fraction, held_out, table_path, with_columns
 from .quality_rules import calibrate, fit_logistic
 
 #: Labelled rows of each class that learning uses at most (about).
 LEARN_ROWS = 6_000
-MOST_TERMS = 600
+#: Terms, and stems, that the lexicon holds at most; letters of a learned word at most (no misspelling automaton is longer).
+MOST_TERMS, LONGEST_TERM = 600, 40
+#: Words and stems that a task counts before it hands on.
+MOST_HELD = 1_000_000
 TOXIC_AT = 0.3
 FUZZY_FROM = 5  # letters that a term needs before misspellings of it count, where no labels tell more
 NEAR_FROM = 4  # the same for learned terms and stems, whose clean neighbours are known
@@ -264,15 +268,25 @@ def _document_counts(used: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = list(dict.fromkeys([*seen[1], *seen[0]]))
+            for i in range(0, len(keys), 50_000):
+                own = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own]), pa.array([w for _, w in own]), pa.array([seen[1][k] for k in own], pa.int64()), pa.array([seen[0][k] for k in own], pa.int64())], ["kind", "word", "toxic", "clean"])
+            for c in seen:
+                c.clear()
+
         for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in _WORD.findall(t.lower()) if len(w) <= 40}
-                seen[y].update(("w", w) for w in words)
-                seen[y].update({("s", w[:k]) for w in words for k in STEMS if len(w) > k})
-        keys = list(dict.fromkeys([*seen[1], *seen[0]]))
-        for i in range(0, len(keys), 50_000):
-            own = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own]), pa.array([w for _, w in own]), pa.array([seen[1][k] for k in own], pa.int64()), pa.array([seen[0][k] for k in own], pa.int64())], ["kind", "word", "toxic", "clean"])
+            for s, e in chunks(batch.column(1)):
+                part = batch.slice(s, e - s)
+                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = {w for w in _WORD.findall(t.lower()) if len(w) <= LONGEST_TERM}
+                    seen[y].update(("w", w) for w in words)
+                    seen[y].update({("s", w[:k]) for w in words for k in STEMS if len(w) > k})
+            if len(seen[0]) + len(seen[1]) > MOST_HELD:
+                yield from out()
+        yield from out()
 
     return used.mapInArrow(count, "kind string, word string, toxic long, clean long").groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -333,10 +347,14 @@ def _needed(toxic: DataFrame, words: list, stems: list, least: int, least_sure:
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = LEARN_ROWS) -> ToxicModel:
     """Learn from at most about ``rows`` documents of each class; a third of them fits the final model."""
-    y = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).filter("i is not null and y is not null").groupBy("i").agg(F.max("y").cast("int").alias("y"))
+    y = labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").alias("y")).filter("i is not null and y is not null").groupBy("i").agg(F.max("y").cast("int").alias("y"))
     parts = [bounded_sample(y.filter(F.col("y") == k), "i", rows) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # bounded by 2 x rows: may be broadcast
-    used = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "i").persist()
+    used = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).filter("t is not null").join(F.broadcast(chosen), "i")
+    n_used = used.select("i").count()
+    if n_used > 4 * rows:  # ids that repeat: their documents are thinned
+        used = used.filter(hash_fraction(F.xxhash64("i", "t")) < 4 * rows / n_used)
+    used = used.persist()
     try:
         fold: Column = F.pmod(F.xxhash64(F.lit("fold"), "i"), F.lit(3))
         first, second = used.filter(fold > 0), used.filter(fold == 0)
@@ -375,10 +393,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = shared.value.features(batch.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x[:, k].copy()) for k in range(3)]], ["i", "y", "a", "b", "c"])
+                for s, e in chunks(batch.column(1)):
+                    part = batch.slice(s, e - s)
+                    x = shared.value.features(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x[:, k].copy()) for k in range(3)]], ["y", "a", "b", "c"])
 
-        rows_ = second.select("i", "y", "t").mapInArrow(features, "i long, y int, a double, b double, c double").toPandas().sort_values(["i", "a", "b", "c"])
+        rows_ = second.select("y", "t").mapInArrow(features, "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])
     finally:
         used.unpersist()
     truth = rows_["y"].to_numpy().astype(float)
