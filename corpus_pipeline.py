@@ -13,8 +13,10 @@ from weftline.llm import arrowtext, bpe_codec, jaccard_join, secret_scan, source
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; the rest, null texts included, stay unchanged."""
     model = toxicity.learn_from_tables(spark, sf_dir, docs)
-    scored = toxicity.score_toxicity(docs, model, out="__toxic")
-    return scored.filter(F.col("__toxic") < toxicity.TOXIC_AT).select(*docs.columns)
+    # positional names: no column of the documents can clash with the score
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    scored = toxicity.score_toxicity(docs.toDF(*names), model, text=names[docs.columns.index("text")], out="score")
+    return scored.filter(F.col("score") < toxicity.TOXIC_AT).select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the new text."""
     clean = secret_scan.redact_secrets(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``; what each kept is a table in the shared folder."""
+    """All stages over the table ``documents``; what each kept is a table in the shared folder until the next has read it."""
     folder = f"{arrowtext.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = arrowtext.table_path(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            arrowtext.remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
