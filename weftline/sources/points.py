@@ -6,6 +6,8 @@ derived from another one do not inherit its count.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,8 +127,27 @@ def synthetic(spark: SparkSession, n: int, partitions: int = 8, seed: int = 42)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """This application's folder in spark.checkpoint.dir, which all executors share; Hadoop deletes it when the driver ends.
+
+    In local mode a folder of this machine will do where the setting is missing; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/weftline-checkpoints"
+    folder = f"{base.rstrip('/')}/points-{context.applicationId}"
+    if folder not in _ends_with_driver:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _ends_with_driver.add(folder)
+    return folder
+
+
+_ends_with_driver: set[str] = set()
 
 
 def written(df: DataFrame) -> DataFrame:
