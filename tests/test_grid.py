@@ -3,6 +3,7 @@ import pytest
 
 from weftline.functions.vectors import COSINE, EUCLIDEAN, MANHATTAN
 from weftline.operators import sampling
+from weftline.operators.assign import Windows, nearest_within
 from weftline.plans.dbscan import DBSCANpp
 from weftline.sources import points as P
 
@@ -33,9 +34,48 @@ def test_odd_inputs_in_tables(spark):
     p = P.from_rows(spark, x, [5, 5, 9, 9, -8])
     want, got = (DBSCANpp(1, 4, 1.0, candidate_bytes=b).fit(p) for b in (1 << 20, 0))
     assert got.cores.count() == len(want.cores) == 0 and set(got.predict_all(np.array(x))) == {-1} and got.num_clusters == 0
-    for bad in (DBSCANpp(1, 4, 1.0, COSINE, candidate_bytes=0), DBSCANpp(1, 4, 1.0, assign="closest", candidate_bytes=0), DBSCANpp(1e-12, 4, 1.0, candidate_bytes=0)):
-        with pytest.raises(ValueError):
-            bad.fit(P.from_rows(spark, [(3.0, 1.0), (1.0, 2.0)]))
+
+
+@pytest.mark.parametrize(("d", "metric", "assign", "eps"), [(5, EUCLIDEAN, "eps", 1.1), (2, EUCLIDEAN, "closest", 0.35), (4, COSINE, "eps", 0.02), (2, MANHATTAN, "eps", 1e-12)])
+def test_chunks_equal_the_broadcast_way(spark, d, metric, assign, eps):
+    """More dimensions, other metrics, every row assigned, and coordinates too fine for cells."""
+    x = cloud(d, d)
+    p = P.from_rows(spark, x, np.random.default_rng(9).integers(0, 3, len(x)).astype(float), 4)
+    want = DBSCANpp(eps, 7, 0.9, metric, assign=assign).fit(p)
+    got = DBSCANpp(eps, 7, 0.9, metric, assign=assign, candidate_bytes=2500 * d).fit(p)
+    assert got.grid is None and got.num_clusters == want.num_clusters >= 1 and got.cores.count() == len(want.cores)
+    assert [r["label"] for r in got.transform(p.df).orderBy("rid").collect()] == want.predict_all(x).tolist()
+    other = np.vstack([cloud(d, 77), np.full((1, d), 99.0), np.full((1, d), np.nan)])
+    assert got.predict_all(other).tolist() == want.predict_all(other).tolist()
+
+
+def test_cores_in_tables_label_streams(spark, tmp_path):
+    x = cloud(2, 2)
+    p = P.from_rows(spark, x, np.ones(len(x)), 4)
+    model = DBSCANpp(0.35, 7, 1.0, candidate_bytes=2000).fit(p)
+    assert model.grid is not None
+    p.df.write.parquet(str(tmp_path / "in"))
+    stream = model.transform(spark.readStream.schema(p.df.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("labelled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["label"] for r in spark.table("labelled").orderBy("rid").collect()] == [r["label"] for r in model.transform(p.df).orderBy("rid").collect()]
+
+
+@pytest.mark.parametrize("metric", [EUCLIDEAN, MANHATTAN, COSINE])
+def test_windows_hold_all_pairs_within_reach(metric):
+    rng = np.random.default_rng(5)
+    x, own = np.round(rng.uniform(-3, 3, (700, 2)), 1), np.round(rng.uniform(-3, 3, (300, 2)), 1)
+    x[5], x[6], own[3] = np.nan, np.inf, np.nan
+    windows = Windows(own, 0.5, metric)
+    assert (windows.axis is None) == (metric is COSINE)
+    near = np.zeros((700, 300), bool)
+    for rows, s in windows.meet(x, 64):
+        near[np.ix_(rows, windows.order[s])] |= metric.within_pairs(x[rows], windows.points[s], 0.5)
+    assert (near == metric.within_pairs(x, own, 0.5)).all()
+    index, d = nearest_within(x, windows, metric, 0.5)
+    full = metric.pairwise(x, own)
+    full[np.isnan(full)] = np.inf
+    hit = near[np.arange(700), full.argmin(1)] & np.isfinite(full.min(1))
+    assert (index == np.where(hit, full.argmin(1), -1)).all() and (d[hit] == full.min(1)[hit]).all()
 
 
 def test_large_samples_are_the_same(spark, monkeypatch):

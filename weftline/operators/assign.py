@@ -85,25 +85,61 @@ def assign_nearest(df: DataFrame, prototypes: np.ndarray, metric: Metric, featur
     return with_labels(df, lambda x: nearest_rows(x, shared.value, metric)[0], features, out)
 
 
+class Windows:
+    """Points sorted along their widest axis: for norms, what lies within a radius of some rows lies in a slice of them."""
+
+    def __init__(self, points: np.ndarray, radius: float | None, metric: Metric):
+        self.axis, self.order = None, np.arange(len(points))
+        if radius is not None and len(points) and metric.name in ("euclidean", "manhattan"):
+            known = np.where(np.isfinite(points), points, np.nan)
+            spread = np.zeros(points.shape[1])
+            full = ~np.isnan(known).all(0)
+            spread[full] = np.nanmax(known[:, full], 0) - np.nanmin(known[:, full], 0)
+            self.axis, self.reach = int(spread.argmax()), radius * (1 + 1e-9)
+            self.order = np.argsort(points[:, self.axis], kind="stable")
+        self.points = points[self.order]
+
+    def meet(self, x: np.ndarray, rows: int = 512) -> Iterator[tuple[np.ndarray, slice]]:
+        """(rows of ``x``, slice of the points): all pairs within the radius are in some of them; blocks are bounded."""
+        n = len(self.points)
+        if self.axis is None:
+            for s in row_blocks(len(x), n):
+                yield np.arange(s.start, s.stop), slice(0, n)
+            return
+        at, key = np.flatnonzero(np.isfinite(x[:, self.axis])), self.points[:, self.axis]
+        at = at[np.argsort(x[at, self.axis], kind="stable")]
+        for s in range(0, len(at), rows):
+            own = at[s : s + rows]
+            room = 1e-12 * (abs(x[own[0], self.axis]) + abs(x[own[-1], self.axis]))
+            window = slice(int(np.searchsorted(key, x[own[0], self.axis] - self.reach - room)), int(np.searchsorted(key, x[own[-1], self.axis] + self.reach + room, "right")))
+            if window.stop > window.start:
+                for b in row_blocks(len(own), window.stop - window.start):
+                    yield own[b], window
+
+
+def nearest_within(x: np.ndarray, cores: Windows, metric: Metric, radius: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(index, distance) of each row's nearest core by its place before sorting, the lowest of equals; -1 beyond the radius or without a distance."""
+    found, best = np.full(len(x), -1), np.full(len(x), np.inf)
+    for rows, window in cores.meet(x):
+        index = np.sort(cores.order[window])
+        own = cores.points[window][np.argsort(cores.order[window], kind="stable")]
+        d = metric.pairwise(x[rows], own)
+        d[np.isnan(d)] = np.inf
+        at = d.argmin(1)
+        near = d[np.arange(len(d)), at]
+        hit = np.isfinite(near)
+        if radius is not None:
+            hit &= ((x[rows] - own[at]) ** 2).sum(1) <= radius * radius if metric.name == "euclidean" else near <= radius
+        found[rows], best[rows] = np.where(hit, index[at], -1), np.where(hit, near, np.inf)
+    return found, best
+
+
 def assign_cores(df: DataFrame, cores: np.ndarray, labels: np.ndarray, metric: Metric, radius: float | None, features: str = "features", out: str = "label") -> DataFrame:
     """The label of the nearest core; -1 if there is none, beyond ``radius`` (if given), or without a distance."""
     if not len(cores):
         return df.withColumn(out, F.lit(-1))
-    shared = df.sparkSession.sparkContext.broadcast((cores, labels))
-
-    def of(x: np.ndarray) -> np.ndarray:
-        own, names = shared.value
-        index, d1, _ = nearest_rows(x, own, metric)
-        near = np.isfinite(d1)
-        if radius is not None:
-            hit = np.zeros(len(x), bool)
-            for s in range(0, len(x), 4096):
-                a, b = x[s : s + 4096], own[index[s : s + 4096]]
-                hit[s : s + 4096] = ((a - b) ** 2).sum(1) <= radius * radius if metric.name == "euclidean" else d1[s : s + 4096] <= radius
-            near &= hit
-        return np.where(near, names[index], -1)
-
-    return with_labels(df, of, features, out)
+    shared = df.sparkSession.sparkContext.broadcast((Windows(cores, radius, metric), np.append(labels, -1)))
+    return with_labels(df, lambda x: shared.value[1][nearest_within(x, shared.value[0], metric, radius)[0]], features, out)
 
 
 def tree_label(features: Column, centroids: np.ndarray, left: list[int], right: list[int], leaf: list[int], metric: Metric, node: int = 0) -> Column:

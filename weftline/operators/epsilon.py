@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Metric
-from ..sources.points import written
-from .assign import row_blocks
+from ..sources.points import matrix, written
+from .assign import Windows
 from .sums import ordered_sum
 
 #: Candidates that one pass answers at most.
@@ -59,21 +59,21 @@ def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = after
 
 
-def mass_within(points: DataFrame, candidates: np.ndarray, radius: float, metric: Metric, chunk: int = 2000) -> np.ndarray:
+def mass_within(points: DataFrame, candidates: np.ndarray, radius: float, metric: Metric, chunk: int = MOST_CANDIDATES) -> np.ndarray:
     """Weight of all points within the radius of each candidate (itself included), by chunks of candidates."""
     out = np.zeros(len(candidates))
     step = max(1, min(chunk, len(candidates), MOST_CANDIDATES))
     for s in range(0, len(candidates), step):
-        own = candidates[s : s + step]
+        own = Windows(candidates[s : s + step], radius, metric)
         shared = points.sparkSession.sparkContext.broadcast(own)
 
         def compute(x: np.ndarray, w: np.ndarray, shared=shared) -> np.ndarray:
-            total = np.zeros(len(shared.value))
-            for rows in row_blocks(len(x), len(shared.value)):
-                total += w[rows] @ metric.within_pairs(x[rows], shared.value, radius)
+            total = np.zeros(len(shared.value.points))
+            for rows, window in shared.value.meet(x):
+                total[window] += w[rows] @ metric.within_pairs(x[rows], shared.value.points[window], radius)
             return total
 
-        out[s : s + step] = ordered_sum(points, compute, len(own))
+        out[s + own.order] = ordered_sum(points, compute, len(own.order))
         shared.unpersist()
     return out
 
@@ -105,26 +105,27 @@ def grid_pairs(points: DataFrame, radius: float, metric: Metric) -> DataFrame:
 
 
 def core_components(spark, cores: np.ndarray, radius: float, metric: Metric) -> np.ndarray:
-    """Component of each core in the graph of pairs within the radius.
+    """Component of each core in the graph of pairs within the radius, numbered by their first cores.
 
-    Tasks scan balanced rows of the upper triangle against the broadcast cores and send the edges of
+    Tasks meet slices of the sorted cores with what lies within their reach ahead, and send the edges of
     a spanning forest of what they saw, so that the driver receives less than one edge a core and task.
     """
     n = len(cores)
     root = np.arange(n)
+    own = Windows(cores, radius, metric)
     if n > 1:
-        shared = spark.sparkContext.broadcast(cores)
+        shared = spark.sparkContext.broadcast(own)
         tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 2))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            local = np.arange(n)
+            own, local = shared.value, np.arange(n)
             for batch in batches:
                 t = batch.column(0).to_numpy()
-                rows = np.where(t % 2 == 0, t // 2, n - 1 - t // 2)
-                for s in row_blocks(len(rows), n):
-                    i, j = np.nonzero(metric.within_pairs(own[rows[s]], own, radius))
-                    i = rows[s][i]
+                # without windows a row meets all that follow it: far and near rows by turns
+                rows = t if own.axis is not None else np.where(t % 2 == 0, t // 2, n - 1 - t // 2)
+                for at, window in own.meet(own.points[rows]):
+                    i, j = np.nonzero(metric.within_pairs(own.points[rows[at]], own.points[window], radius))
+                    i, j = rows[at][i], j + window.start
                     local = joined(local, i[i < j], j[i < j])
             linked = np.flatnonzero(local != np.arange(n))
             for s in range(0, len(linked), EDGES_A_ROW):
@@ -134,7 +135,34 @@ def core_components(spark, cores: np.ndarray, radius: float, metric: Metric) ->
         for row in spark.range(0, n, 1, tasks).mapInArrow(scan, "a binary, b binary").toLocalIterator():
             root = joined(root, np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64))
         shared.unpersist()
-    return np.unique(root, return_inverse=True)[1]
+    least = np.full(n, n)
+    np.minimum.at(least, root, own.order)
+    first = np.empty(n, np.int64)
+    first[own.order] = least[root]
+    return np.unique(first, return_inverse=True)[1]
+
+
+def chunk_edges(cores: DataFrame, chunk: tuple[np.ndarray, np.ndarray], radius: float, metric: Metric) -> DataFrame:
+    """(a, b): edges that join what the chunk's cores (ids, rows), a bounded number of them, join among all ``cores`` (rid, features)."""
+    shared = cores.sparkSession.sparkContext.broadcast((chunk[0], Windows(chunk[1], radius, metric)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = shared.value
+        ids, local = ids[own.order], np.arange(len(ids))
+        for batch in batches:
+            x, rid = matrix(batch.column(1)), batch.column(0).to_numpy()
+            for rows, window in own.meet(x):
+                i, j = np.nonzero(metric.within_pairs(x[rows], own.points[window], radius))
+                first = np.searchsorted(i, np.arange(len(rows)))
+                hit = np.flatnonzero(np.append(first[1:], len(i)) > first)
+                j = j + window.start
+                # a row's partners are joined with its first one, the row itself with that one
+                local = joined(local, j, j[first[i]])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[rows[hit]]), pa.array(ids[j[first[hit]]])], ["a", "b"])
+        linked = np.flatnonzero(local != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[local[linked]])], ["a", "b"])
+
+    return cores.select("rid", "features").mapInArrow(scan, "a long, b long").filter("a <> b")
 
 
 def components_table(nodes: DataFrame, edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:

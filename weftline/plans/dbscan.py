@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EUCLIDEAN, Metric, all_finite
 from ..operators import grid
-from ..operators.epsilon import components_table, core_components, mass_within
+from ..operators.epsilon import MOST_CANDIDATES, chunk_edges, components_table, core_components, mass_within
 from ..operators.sampling import exact_sample
 from ..sources.points import PointSet, written
-from .models import CoreModel, GridCoreModel, Model
+from .models import CoreModel, CoreTableModel, Model, chunks_of
 
-#: Bytes of candidates that are gathered and broadcast at most; beyond, the work is done in tables on a grid.
+#: Bytes of candidates that are gathered and broadcast at once; more of them are worked on in chunks or on a grid.
 CANDIDATE_BYTES = 256 << 20
-#: Distances that comparing all candidates with all points may take where a grid fits.
-MOST_DISTANCES = 1_000_000_000
+#: Distances beyond which the grid is faster than comparing candidates with points, where it fits.
+MOST_DISTANCES = 20_000_000_000
 
 
 class DBSCANpp:
     """``min_pts`` is a mass and a point counts itself; clusters are numbered by their first core."""
 
-    def __init__(self, eps: float, min_pts: float, core_fraction: float = 1.0, metric: Metric = EUCLIDEAN, assign: str = "eps", chunk_size: int = 2000, sampling: str = "uniform", seed: int = 42, candidate_bytes: int = CANDIDATE_BYTES):
+    def __init__(self, eps: float, min_pts: float, core_fraction: float = 1.0, metric: Metric = EUCLIDEAN, assign: str = "eps", chunk_size: int = MOST_CANDIDATES, sampling: str = "uniform", seed: int = 42, candidate_bytes: int = CANDIDATE_BYTES):
         if not eps > 0:
             raise ValueError("eps must be positive")
         if min_pts < 1:
@@ -46,29 +48,59 @@ class DBSCANpp:
             n = points.count()
             m = max(1, min(n, math.ceil(self.core_fraction * n)))
             d = PointSet(df).dimension() or 0
-            if 8 * m * d > self.candidate_bytes or (self.grid_fits(d) and m * n > MOST_DISTANCES):
-                return self.fit_in_tables(df, m, n, d)
+            if self.grid_fits(df, d) and (8 * m * d > self.candidate_bytes or m * n > MOST_DISTANCES):
+                return self.fit_on_grid(df, m, n, d)
             chosen = df if m >= n else exact_sample(df, m, self.seed)
+            if 8 * m * d > self.candidate_bytes:
+                return self.fit_in_chunks(df, chosen, 8 * m * d)
             _, candidates, _ = PointSet(chosen).collect()
             density = mass_within(df, candidates, self.eps, self.metric, self.chunk_size) if len(candidates) else np.zeros(0)
             cores = candidates[density >= self.min_pts]
             labels = core_components(df.sparkSession, cores, self.eps, self.metric)
-            return CoreModel(cores, labels, self.metric, self.eps if self.assign == "eps" else None)
+            return CoreModel(cores, labels, self.metric, self.radius)
         finally:
             df.unpersist()
 
-    def grid_fits(self, d: int) -> bool:
-        return grid.Grid.fits(self.metric, d) and self.assign == "eps"
+    @property
+    def radius(self) -> float | None:
+        return self.eps if self.assign == "eps" else None
 
-    def fit_in_tables(self, df: DataFrame, m: int, n: int, d: int) -> GridCoreModel:
-        """The same cores and labels with nothing gathered: on a grid, for norms in up to three dimensions."""
-        if not self.grid_fits(d):
-            raise ValueError(f"{m} candidates of {d} dimensions exceed {self.candidate_bytes} bytes, and the grid needs a norm, at most three dimensions and assign 'eps'; lower coreSampleFraction")
-        cells = grid.Grid(self.eps, self.metric, d)
+    def grid_fits(self, df: DataFrame, d: int) -> bool:
+        """A norm, few dimensions, and coordinates that leave cells whole numbers; the grid tells the nearest core within the radius alone."""
+        if not grid.Grid.fits(self.metric, d) or self.assign != "eps":
+            return False
         largest = df.filter(all_finite(F.col("features"))).agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0]
-        if largest is not None and largest / cells.side > grid.MOST_CELLS:
-            raise ValueError(f"coordinates up to {largest} are too large for cells of {cells.side}")
+        return largest is None or largest / grid.Grid(self.eps, self.metric, d).side <= grid.MOST_CELLS
+
+    def fit_on_grid(self, df: DataFrame, m: int, n: int, d: int) -> CoreTableModel:
+        """The same cores and labels with nothing gathered: for norms in up to three dimensions."""
+        cells = grid.Grid(self.eps, self.metric, d)
         placed = written(cells.place(df))
         chosen = placed if m >= n else cells.place(exact_sample(df, m, self.seed))
         found = grid.cores(cells, placed, chosen, self.min_pts)
-        return GridCoreModel(cells, found, grid.core_labels(cells, found, components_table))
+        labels = grid.core_labels(cells, found, components_table)
+        return CoreTableModel(written(found.join(labels, "cell").select("rid", "features", "label")), self.metric, self.radius, self.candidate_bytes, cells)
+
+    def fit_in_chunks(self, df: DataFrame, chosen: DataFrame, size: int) -> CoreTableModel:
+        """The same cores and labels in any dimension and metric: candidates stay in a table, chunks of them meet all points, then all cores."""
+        n = chunks_of(size, self.candidate_bytes)
+        candidates = written(chosen.select("rid", "features", "weight", F.pmod(F.xxhash64(F.lit("chunk"), "rid"), F.lit(n)).alias("chunk")))
+        spark, found = df.sparkSession, []
+        for c in range(n):
+            own = candidates.filter(F.col("chunk") == c)
+            ids, rows, _ = PointSet(own).collect()
+            dense = ids[mass_within(df, rows, self.eps, self.metric, self.chunk_size) >= self.min_pts] if len(ids) else ids
+            kept = spark.createDataFrame(pa.table({"rid": pa.array(dense, pa.int64())}))
+            found.append(written(own.join(kept, "rid", "left_semi").select("rid", "features", "weight", "chunk")))
+        cores = written(reduce(DataFrame.unionByName, found))
+        edges = []
+        for part in found:
+            ids, rows, _ = PointSet(part).collect()
+            if len(ids):
+                edges.append(written(chunk_edges(cores, (ids, rows), self.eps, self.metric)))
+        if not edges:
+            return CoreTableModel(cores.select("rid", "features", F.lit(-1).alias("label")), self.metric, self.radius, self.candidate_bytes)
+        reached = written(components_table(cores.select("rid"), reduce(DataFrame.unionByName, edges)))
+        labels = grid.numbered(reached.select(F.col("component").alias("root")).distinct())
+        named = reached.join(labels, F.col("component") == F.col("root")).select("rid", "label")
+        return CoreTableModel(written(cores.join(named, "rid").select("rid", "features", "label")), self.metric, self.radius, self.candidate_bytes)

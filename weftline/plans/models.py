@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import Metric
 from ..operators import grid
-from ..operators.assign import assign_cores, assign_nearest, nearest_rows, tree_label
+from ..operators.assign import Windows, assign_cores, assign_nearest, nearest_rows, nearest_within, tree_label
+from ..sources.points import matrix
 
 
 class Model:
@@ -93,29 +98,66 @@ class CoreModel(Model):
         rows = np.asarray(rows, float)
         if not len(self.cores):
             return np.full(len(rows), -1)
-        index, d1, _ = nearest_rows(rows, self.cores, self.metric)
-        near = np.isfinite(d1)
-        if self.radius is not None:
-            near &= np.array([bool(self.metric.within_pairs(rows[i : i + 1], self.cores[j : j + 1], self.radius)[0, 0]) for i, j in enumerate(index)], bool)
-        return np.where(near, self.core_labels[index], -1)
+        return np.append(self.core_labels, -1)[nearest_within(rows, Windows(self.cores, self.radius, self.metric), self.metric, self.radius)[0]]
+
+
+def chunks_of(size: int, most: int) -> int:
+    """How many chunks hold ``size`` bytes, and room for their unequal sizes."""
+    return max(1, math.ceil(1.25 * size / max(most, 1)))
 
 
 @dataclass
-class GridCoreModel(Model):
-    """As ``CoreModel`` with a radius, for cores that stay in tables: (rid, features, cell) and (cell, label)."""
+class CoreTableModel(Model):
+    """As ``CoreModel``, for cores that stay in a table (rid, features, label): labels batches and streams.
+
+    Chunks of the cores, ``chunk_bytes`` each, are broadcast one after the other, and every row carries its
+    nearest core through them. With a ``grid`` batches take its cells instead.
+    """
 
-    grid: grid.Grid
     cores: DataFrame
-    cell_labels: DataFrame
+    metric: Metric
+    radius: float | None
+    chunk_bytes: int
+    grid: grid.Grid | None = None
 
     @property
     def num_clusters(self) -> int:
-        return self.cell_labels.select("label").distinct().count()
+        return self.cores.filter("label >= 0").select("label").distinct().count()
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if df.isStreaming:
-            raise ValueError("cores in tables label batches only")
-        return grid.assign(self.grid, df, self.cores, self.cell_labels)
+        if self.grid is not None and not df.isStreaming:
+            cells = self.grid.place(self.cores)
+            return grid.assign(self.grid, df, cells.select("rid", "features", "cell"), cells.groupBy("cell").agg(F.first("label").alias("label")))
+        return self.through_chunks(df)
+
+    def through_chunks(self, df: DataFrame) -> DataFrame:
+        size = self.cores.agg(F.sum(F.size("features") * 8)).first()[0] or 0
+        if not size:
+            return df.withColumn("label", F.lit(-1))
+        n, kept, metric, radius = chunks_of(size, self.chunk_bytes), df.drop("label"), self.metric, self.radius
+        at, width = kept.columns.index("features"), len(kept.columns)
+        schema = T.StructType([*kept.schema.fields, T.StructField("label", T.IntegerType()), T.StructField("__far", T.DoubleType()), T.StructField("__core", T.LongType())])
+        out = kept.withColumns({"label": F.lit(-1), "__far": F.lit(float("inf")).cast("double"), "__core": F.lit(0).cast("long")})
+        for c in range(n):
+            part = self.cores.filter(F.pmod(F.xxhash64(F.lit("part"), "rid"), F.lit(n)) == c).orderBy("rid").toArrow()
+            if not part.num_rows:
+                continue
+            rows = matrix(part.column("features").combine_chunks())
+            shared = df.sparkSession.sparkContext.broadcast((part.column("rid").to_numpy(), part.column("label").to_numpy(), Windows(rows, self.radius, self.metric)))
+
+            def nearer(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                ids, names, own = shared.value
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    label, far, core = (batch.column(width + k).to_numpy() for k in range(3))
+                    index, d = nearest_within(matrix(batch.column(at)), own, metric, radius)
+                    hit = (index >= 0) & ((d < far) | ((d == far) & (ids[index] < core)))
+                    new = [np.where(hit, names[index], label).astype(np.int32), np.where(hit, d, far), np.where(hit, ids[index], core)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], *map(pa.array, new)], schema=batch.schema)
+
+            out = out.mapInArrow(nearer, schema)
+        return out.drop("__far", "__core")
 
     def predict_all(self, rows: np.ndarray) -> np.ndarray:
         rows = np.asarray(rows, float)

@@ -122,7 +122,7 @@ def _distfastpam(p: Params) -> Built:
 
 def _dbscanpp(p: Params) -> Built:
     metric = _distance(p)
-    return Built(DBSCANpp(p.number("eps"), p.number("minPts"), p.number("coreSampleFraction"), metric, p.text("assign", "eps").lower(), p.integer("chunkSize", 2000), p.text("sampling", "uniform").lower(), p.integer("seed", 42)), metric)
+    return Built(DBSCANpp(p.number("eps"), p.number("minPts"), p.number("coreSampleFraction"), metric, p.text("assign", "eps").lower(), p.integer("chunkSize", 100_000), p.text("sampling", "uniform").lower(), p.integer("seed", 42)), metric)
 
 
 ALGORITHMS: NamedRegistry[Callable[[Params], Built]] = NamedRegistry(
