@@ -203,3 +203,23 @@ def test_tree_merge_of_partials_gives_the_same_sums(spark, monkeypatch):
     monkeypatch.setattr(sums, "DRIVER_VALUES", 1)
     two = sums.cell_stats(p.df, BLOBS[:3, [0, 1, 1]], EUCLIDEAN)
     assert np.allclose(one.sums, two.sums) and one.count.tolist() == two.count.tolist() and PLANE.name == "euclidean"
+
+
+def test_partials_merge_by_as_many_levels_as_it_takes(spark, monkeypatch):
+    df = points(spark, BLOBS, range(1, 49)).df.repartition(20, "rid")
+    one = sums.cell_stats(df, BLOBS[:3], EUCLIDEAN)
+    monkeypatch.setattr(sums, "DRIVER_VALUES", 1)
+    monkeypatch.setattr(sums, "FAN_IN", 2)
+    many = sums.cell_stats(df, BLOBS[:3], EUCLIDEAN)
+    assert np.allclose(one.sums, many.sums) and one.count.tolist() == many.count.tolist() and one.error == pytest.approx(many.error)
+
+
+def test_a_sample_of_files_is_the_same_however_they_are_split(spark, tmp_path):
+    points(spark, [(float(i), 0.0) for i in range(4000)]).df.repartition(3).write.parquet(f"{tmp_path}/p")
+    take = lambda seed: [r["rid"] for r in P.read_parquet(spark, f"{tmp_path}/p", "features", rid="rid", sample_fraction=0.3, seed=seed).df.orderBy("rid").collect()]
+    first = take(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert take(1) == first != take(2) and abs(len(first) - 1200) < 150
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -44,7 +44,7 @@ def test_configuration_and_cli():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["dist_cosine", "assign_cell_stats", "kmeans_weighted", "kmeans_spherical", "bisect_first_split", "medoid_build_k", "pamae_refine_round", "eps_mass", "dbscan_exact", "davies_bouldin", "calinski_harabasz", "silhouette_weighted"])
+@pytest.mark.parametrize("name", ["dist_cosine", "assign_cell_stats", "kmeans_weighted", "kmeans_spherical", "bisect_first_split", "bisecting_nations", "breathing_cycle", "distfastpam_small", "pamae_whole", "medoid_build_k", "pamae_refine_round", "eps_mass", "dbscan_exact", "davies_bouldin", "calinski_harabasz", "silhouette_weighted"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 

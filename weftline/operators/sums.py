@@ -15,7 +15,7 @@ from ..functions.vectors import Metric, literal, sanitize_weight
 from ..sources.points import matrix
 from .assign import nearest_rows, row_blocks, two_nearest
 
-#: Doubles that partials may bring to the driver at once; beyond, groups of partitions are merged first.
+#: Doubles that partials may bring to the driver at once; beyond, groups of partials are merged, by as many levels as it takes.
 DRIVER_VALUES = 1_000_000
 FAN_IN = 8
 
@@ -34,19 +34,20 @@ def ordered_sum(df: DataFrame, compute: Callable[[np.ndarray, np.ndarray], np.nd
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["pid", "v"])
 
     parts = df.select("features", "weight").mapInArrow(partial, "pid int, v array<double>")
-    if df.rdd.getNumPartitions() * width > DRIVER_VALUES:
 
-        def merge(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table.column("pid").to_pylist(), table.column("v").to_pylist(), strict=True))
-            total = np.zeros(width)
-            for _, v in rows:
-                total += np.asarray(v)
-            return pa.table({"pid": pa.array([rows[0][0]], pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
+    def merge(table: pa.Table) -> pa.Table:
+        at, total = table.column("pid").to_numpy(), np.zeros(width)
+        for i in at.argsort():
+            total += table.column("v")[int(i)].values.to_numpy()
+        return pa.table({"pid": pa.array([at.min() // FAN_IN], pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
 
+    left = df.rdd.getNumPartitions()
+    while left > 1 and left * width > DRIVER_VALUES:
         parts = parts.groupBy(F.floor(F.col("pid") / FAN_IN)).applyInArrow(merge, "pid int, v array<double>")
-    total = np.zeros(width)
-    for row in sorted(parts.toArrow().to_pylist(), key=lambda r: r["pid"]):
-        total += np.asarray(row["v"])
+        left = -(-left // FAN_IN)
+    table, total = parts.toArrow(), np.zeros(width)
+    for i in table.column("pid").to_numpy().argsort():
+        total += table.column("v")[int(i)].values.to_numpy()
     return total
 
 

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import randomness
 from .functions import vectors as V
 from .operators import assign, epsilon, evaluate, sampling, sums
 from .plans import bisecting, config, dbscan, kmeans, medoids, models, run
@@ -168,16 +169,16 @@ K = 5
 PROTO_SQL = f"c0 AS (SELECT row_number() OVER (ORDER BY rid) - 1 AS i, v AS c FROM e ORDER BY rid LIMIT {K})"
 
 
-def _lloyd_sql(rounds: int, source: str = "e", weight: str = "w", dist: str = "list_distance({v}, {c})", project: str = "{c}") -> str:
-    """CTEs a1..an (assignments with both distances) and c1..cn (means)."""
+def _lloyd_sql(rounds: int, source: str = "e", weight: str = "w", dist: str = "list_distance({v}, {c})", project: str = "{c}", tag: str = "") -> str:
+    """CTEs a0, c1, a1 .. c{rounds}: assignments with both distances, and means; ``tag`` follows each letter."""
     out = []
     for r in range(rounds):
         d = dist.format(v="x.v", c="y.c")
-        out.append(f"n{r} AS (SELECT x.rid, x.v, {weight} AS w, y.i, {d} AS d, row_number() OVER (PARTITION BY x.rid ORDER BY {d}, y.i) AS k FROM {source} x, c{r} y)")
-        out.append(f"a{r} AS (SELECT rid, any_value(v) FILTER (WHERE k = 1) AS v, any_value(w) AS w, any_value(i) FILTER (WHERE k = 1) AS i, min(d) FILTER (WHERE k = 1) AS d1, min(d) FILTER (WHERE k = 2) AS d2 FROM n{r} WHERE k <= 2 GROUP BY rid)")
-        out.append(f"m{r} AS (SELECT i, pos, sum(w * x) / sum(w) AS m FROM (SELECT i, w, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM a{r}) GROUP BY i, pos)")
-        out.append(f"u{r} AS (SELECT i, list(m ORDER BY pos) AS c FROM m{r} GROUP BY i)")
-        out.append(f"c{r + 1} AS (SELECT i, {project.format(c='c')} AS c FROM u{r})")
+        out.append(f"n{tag}{r} AS (SELECT x.rid, x.v, {weight} AS w, y.i, {d} AS d, row_number() OVER (PARTITION BY x.rid ORDER BY {d}, y.i) AS k FROM {source} x, c{tag}{r} y)")
+        out.append(f"a{tag}{r} AS (SELECT rid, any_value(v) FILTER (WHERE k = 1) AS v, any_value(w) AS w, any_value(i) FILTER (WHERE k = 1) AS i, min(d) FILTER (WHERE k = 1) AS d1, min(d) FILTER (WHERE k = 2) AS d2 FROM n{tag}{r} WHERE k <= 2 GROUP BY rid)")
+        out.append(f"m{tag}{r} AS (SELECT i, pos, sum(w * x) / sum(w) AS m FROM (SELECT i, w, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM a{tag}{r}) GROUP BY i, pos)")
+        out.append(f"u{tag}{r} AS (SELECT i, list(m ORDER BY pos) AS c FROM m{tag}{r} GROUP BY i)")
+        out.append(f"c{tag}{r + 1} AS (SELECT i, {project.format(c='c')} AS c FROM u{tag}{r})")
     return ", ".join(out)
 
 
@@ -283,6 +284,50 @@ def breathing_removal_order(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(kmeans.removal_order(s.utility))), "place int, label int")
 
 
+#: The clone's two offsets are the first draws of the seeded generator.
+OFFSETS = (lambda rng: [rng.next_double() - 0.5, rng.next_double() - 0.5])(randomness.JavaRandom(42))
+BREATH_SQL = f"""WITH {S_SQL}, c0 AS (SELECT row_number() OVER (ORDER BY rid) - 1 AS i, v AS c FROM s ORDER BY rid LIMIT {K}), {_lloyd_sql(2, source='s')},
+hurt AS (SELECT i, sum(w * d1 * d1) AS e FROM a1 GROUP BY i), old AS (SELECT sum(w * d1 * d1) AS e, 0.01 * sqrt(sum(w * d1 * d1) / sum(w)) AS scale FROM a1),
+clone AS (SELECT {K} AS i, [c[1] + scale * ({OFFSETS[0]!r}), c[2] + scale * ({OFFSETS[1]!r})] AS c FROM c1 JOIN hurt USING (i), old ORDER BY hurt.e DESC, i LIMIT 1),
+cg0 AS (SELECT i, c FROM c1 UNION ALL SELECT i, c FROM clone), {_lloyd_sql(2, source='s', tag='g')},
+useful AS (SELECT i, sum(w * (d2 * d2 - d1 * d1)) AS u FROM ag1 GROUP BY i), gone AS (SELECT i FROM useful ORDER BY u, i LIMIT 1),
+cs0 AS (SELECT row_number() OVER (ORDER BY i) - 1 AS i, c FROM cg1 WHERE i NOT IN (SELECT i FROM gone)), {_lloyd_sql(2, source='s', tag='s')},
+new AS (SELECT sum(w * d1 * d1) AS e FROM as1), best AS (SELECT i, c FROM cs1, new, old WHERE new.e < old.e UNION ALL SELECT i, c FROM c1, new, old WHERE new.e >= old.e)"""
+
+
+@query(f"{BREATH_SQL} {_rows_sql('best')}")
+def breathing_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """One cycle of breathing over the suppliers: a round of Lloyd, a clone, a round, a removal, a round; the better set."""
+    df = suppliers(spark, d)
+    return _vectors(spark, kmeans.BreathingKMeans(K, 1, 0.0, m0=1, max_cycles=1, initial=first_rows(df, K)).fit(P.PointSet(df)).prototypes)
+
+
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    """One row a nation: the balance of its customers in thousands and their number, which is also the weight."""
+    t = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").cast("long").alias("rid"))
+    t = t.agg(F.round(F.sum(F.col("c_acctbal").cast("double")) / 1e3, 6).alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return t.select("rid", F.array("total", "weight").alias("features"), "weight")
+
+
+def _split_sql(source: str, tag: str) -> str:
+    """CTEs of one split of ``source``: the least row and the farthest from it, two rounds, and the last assignment a{tag}2."""
+    return f"""lo{tag} AS (SELECT v AS c FROM {source} ORDER BY v LIMIT 1), hi{tag} AS (SELECT x.v AS c FROM {source} x, lo{tag} lo ORDER BY list_distance(x.v, lo.c) DESC, x.v LIMIT 1),
+c{tag}0 AS (SELECT 0 AS i, c FROM lo{tag} UNION ALL SELECT 1 AS i, c FROM hi{tag}), {_lloyd_sql(3, source=source, tag=tag)}"""
+
+
+N_SQL = "e AS (SELECT CAST(c_nationkey AS BIGINT) AS rid, [round(sum(CAST(c_acctbal AS DOUBLE)) / 1e3, 6), CAST(count(*) AS DOUBLE)] AS v, CAST(count(*) AS DOUBLE) AS w FROM customer GROUP BY c_nationkey)"
+
+
+@query(
+    f"""WITH {N_SQL}, {_split_sql('e', 'f')}, worst AS (SELECT i FROM af2 GROUP BY i ORDER BY sum(w * d1 * d1) DESC, i LIMIT 1), e2 AS (SELECT rid, v, w FROM af2 WHERE i IN (SELECT i FROM worst)), {_split_sql('e2', 'h')}
+SELECT af2.rid, CAST(CASE WHEN (SELECT i FROM worst) = 0 THEN CASE WHEN af2.i = 0 THEN ah2.i ELSE 2 END ELSE CASE WHEN af2.i = 0 THEN 0 ELSE 1 + ah2.i END END AS INTEGER) AS label FROM af2 LEFT JOIN ah2 USING (rid)"""
+)
+def bisecting_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Bisecting k-means into three leaves; a table of at most 256 rows is its own sample of seeds."""
+    df = nations(spark, d)
+    return bisecting.BisectingKMeans(3, 2, 0.0).fit(P.PointSet(df)).transform(df).select("rid", "label")
+
+
 SPLIT_SQL = f"""WITH {P_SQL}, e AS (SELECT rid, v, 1.0 AS w FROM p),
 lo AS (SELECT v AS c FROM e ORDER BY v LIMIT 1), hi AS (SELECT e.v AS c FROM e, lo ORDER BY list_distance(e.v, lo.c) DESC, e.v LIMIT 1),
 c0 AS (SELECT 0 AS i, c FROM lo UNION ALL SELECT 1 AS i, c FROM hi), {_lloyd_sql(2)}"""
@@ -347,6 +392,67 @@ def swap_deltas(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "slot int, rid long, delta double").select("slot", "rid", F.round("delta", 4).alias("delta"))
 
 
+def _swaps_sql(swaps: int) -> str:
+    """BUILD, then up to ``swaps`` rounds that each make the best swap if it lowers the objective: CTEs m0..m{swaps}."""
+    out = [BUILD3, f"m0 AS MATERIALIZED ({CHOSEN3})"]
+    for r in range(swaps):
+        out.append(f"nd{r} AS (SELECT x, any_value(w) AS w, min(d) AS d1, arg_min(slot, (d, slot)) AS slot, list_sort(list(d))[2] AS d2 FROM pd JOIN m{r} USING (c) GROUP BY x)")
+        out.append(f"t{r} AS (SELECT pd.c, nd.slot, nd.w * least(pd.d - d1, 0) AS gain, nd.w * (least(d2, pd.d) - d1) AS own FROM pd JOIN nd{r} nd USING (x) WHERE pd.c NOT IN (SELECT c FROM m{r}))")
+        out.append(f"sh{r} AS (SELECT c, sum(gain) AS shared FROM t{r} GROUP BY c), sl{r} AS (SELECT c, slot, sum(own - gain) AS loss FROM t{r} GROUP BY c, slot)")
+        out.append(f"best{r} AS (SELECT m.slot, sh.c, shared + coalesce(loss, 0) AS delta FROM sh{r} sh CROSS JOIN m{r} m LEFT JOIN sl{r} sl ON sl.c = sh.c AND sl.slot = m.slot ORDER BY delta, m.slot, sh.c LIMIT 1)")
+        out.append(f"m{r + 1} AS MATERIALIZED (SELECT m.slot, CASE WHEN m.slot = b.slot AND delta < 0 THEN b.c ELSE m.c END AS c FROM m{r} m CROSS JOIN best{r} b)")
+    return ", ".join(out)
+
+
+@query(f"{_swaps_sql(1)} SELECT CAST(slot AS INTEGER) AS slot, c AS rid, round(delta, 4) AS delta FROM best0")
+def swap_best_move(spark: SparkSession, d: str) -> DataFrame:
+    rid, x, w = _supplier_points(spark, d)
+    chosen = medoids.build(V.EUCLIDEAN.pairwise(x, x), w, 3)
+    deltas = medoids._objective_sums(suppliers(spark, d), x, x[chosen], V.EUCLIDEAN, "swap")
+    deltas[:, chosen] = np.inf
+    slot, c, change = medoids.best_swap(deltas)
+    return spark.createDataFrame([(slot, int(rid[c]), change)], "slot int, rid long, delta double").select("slot", "rid", F.round("delta", 4).alias("delta"))
+
+
+def _medoid_rows_sql(cte: str) -> str:
+    return f"SELECT CAST(slot AS INTEGER) AS label, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, round(unnest(v), 6) AS val FROM {cte} k JOIN s ON s.rid = k.c"
+
+
+SWAPS = 2
+
+
+@query(f"{_swaps_sql(SWAPS)} {_medoid_rows_sql(f'm{SWAPS}')}")
+def fastpam_small(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, medoids.LocalMedoids(3, max_iter=SWAPS).fit(P.PointSet(suppliers(spark, d))).prototypes)
+
+
+@query(f"{_swaps_sql(SWAPS)} {_medoid_rows_sql(f'm{SWAPS}')}")
+def distfastpam_small(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, medoids.DistributedFastPAM(3, max_iter=SWAPS).fit(P.PointSet(suppliers(spark, d))).prototypes)
+
+
+#: CLARA and PAMAE take a table that is no larger than a sample as a whole, so that their results have an SQL form.
+WHOLE = medoids.LOCAL_POINTS
+
+
+@query(f"{_swaps_sql(SWAPS)} {_medoid_rows_sql(f'm{SWAPS}')}")
+def clara_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, medoids.Clara(3, num_samples=2, sample_size=WHOLE, max_iter=SWAPS).fit(P.PointSet(suppliers(spark, d))).prototypes)
+
+
+REFINE_SQL = f"""{_swaps_sql(SWAPS)}, cell AS (SELECT x, any_value(w) AS w, arg_min(slot, (d, slot)) AS slot, min(d) AS d FROM pd JOIN m{SWAPS} USING (c) GROUP BY x),
+cost AS (SELECT k.x AS cand, any_value(k.slot) AS slot, sum(pd.w * pd.d) AS cost FROM cell k JOIN pd ON pd.c = k.x JOIN cell o ON o.x = pd.x AND o.slot = k.slot GROUP BY k.x),
+pick AS (SELECT cost.slot, cand AS c FROM cost JOIN m{SWAPS} m USING (slot) QUALIFY row_number() OVER (PARTITION BY cost.slot ORDER BY cost, cand <> m.c, cand) = 1),
+was AS (SELECT sum(w * d) AS total FROM cell), now AS (SELECT sum(w * d) AS total FROM (SELECT x, any_value(w) AS w, min(d) AS d FROM pd JOIN pick USING (c) GROUP BY x)),
+refined AS (SELECT slot, CASE WHEN now.total < was.total THEN pick.c ELSE m.c END AS c FROM pick JOIN m{SWAPS} m USING (slot), was, now)"""
+
+
+@query(f"{REFINE_SQL} {_medoid_rows_sql('refined')}")
+def pamae_whole(spark: SparkSession, d: str) -> DataFrame:
+    fitted = medoids.Pamae(3, num_samples=2, sample_size=WHOLE, max_iter=SWAPS, refine_iters=1, pool_size=WHOLE).fit(P.PointSet(suppliers(spark, d)))
+    return _vectors(spark, fitted.prototypes)
+
+
 SETS_SQL = "sets AS (SELECT CAST(rid % 4 AS INTEGER) AS set, v AS c FROM s)"
 
 
@@ -581,7 +687,7 @@ def run_config(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(result[k])) for k in ("nRows", "nClusters", "noiseFraction", "silhouette", "daviesBouldin", "calinskiHarabasz")], "name string, value double")
 
 
-@query()
+@query(SQL["kmeans_lloyd_sizes"])
 def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings labelled as a stream by a fitted model."""
     model = _fitted(spark, d, weighted=False)

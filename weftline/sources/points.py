@@ -82,7 +82,7 @@ def from_rows(spark: SparkSession, features, weights=None, partitions: int | Non
 
 
 def from_dataframe(df: DataFrame, features: str, weight: str | None = None, rid: str | None = None, label: str = "dataframe") -> PointSet:
-    """Points from any DataFrame, checked as :func:`read_parquet` checks; without ``rid`` rows are numbered by their content's order."""
+    """Points from any DataFrame, checked as :func:`read_parquet` checks; without ``rid`` rows are numbered by partition and place in it."""
     columns = {f.name: f.dataType for f in df.schema.fields}
     for role, name in (("feature", features), ("weight", weight)):
         if name is not None and name not in columns:
@@ -103,12 +103,16 @@ def from_dataframe(df: DataFrame, features: str, weight: str | None = None, rid:
 
 
 def read_parquet(spark: SparkSession, path: str, features: str, weight: str | None = None, rid: str | None = None, sample_fraction: float = 1.0, seed: int = 42, partitions: int | None = None) -> PointSet:
-    """Points from a Parquet file or folder (hidden files are skipped); numbers are widened to double."""
+    """Points from a Parquet file or folder (hidden files are skipped); numbers are widened to double.
+
+    A sample goes by the hash of seed, file and row's place in its file: the same rows however the files are split.
+    """
     df = spark.read.parquet(path)
     if not 0 < sample_fraction <= 1:
         raise ValueError("sampleFraction must be in (0, 1]")
     if sample_fraction < 1:
-        df = df.sample(False, sample_fraction, seed)
+        place = F.xxhash64(F.lit(int(seed)), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+        df = df.filter(F.shiftrightunsigned(place, 11).cast("double") * 2.0**-53 < sample_fraction)
     points = from_dataframe(df, features, weight, rid, path)
     return PointSet(points.df.repartition(partitions), None, path) if partitions else points
 
