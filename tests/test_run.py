@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 
@@ -21,6 +22,19 @@ def test_a_run_and_its_result(spark, tmp_path):
     assert json.load(open(path))["runId"] == "r1" and os.listdir(tmp_path) == ["r1.json"]
 
 
+def test_the_sampler_sees_a_peak_between_two_looks_of_its_caller(spark):
+    sampler = run.Sampler(spark).start()
+    before = sampler.read()
+    kept = spark.sparkContext._gateway.new_array(spark._jvm.byte, 64 << 20)
+    time.sleep(0.5)
+    del kept
+    sampler.stop()
+    after = sampler.read()
+    assert sampler.executor_peaks() == [int(sampler.peak)] and sampler.peak >= 64 << 20
+    assert 0 < sampler.byte_seconds <= sampler.peak * 60 and after["cpu"] >= 0 and before["stage_cpu"] == {}
+    assert run.sum_delta({"1.0": 5, "2.0": 9}, {"1.0": 7, "2.0": 3, "3.0": 4}) == 6
+
+
 def test_failed_runs_are_results(spark):
     for algorithm, word in (({"name": "fastpam", "params": {"k": 9999, "distance": "euclidean"}}, "too small"), ({"name": "clara", "params": {"k": 2}}, "distance"), ({"name": "nothing"}, "Known")):
         result = run.execute(spark, config.RunConfig.of(document(algorithm=algorithm)))

@@ -19,7 +19,7 @@ def too_small(n: int, k: int) -> ValueError:
 
 
 def initial_centroids(points: PointSet, k: int, seed: int) -> np.ndarray:
-    """k rows of distinct positions among the first max(30 k, 1000), picked at random."""
+    """k different rows among the first max(30 k, 1000), picked at random; rows that are equal may both be picked."""
     _, x, _ = points.take_first(max(30 * k, 1000))
     if len(x) < k:
         raise too_small(len(x), k)

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import tempfile
+import threading
 import time
 from datetime import datetime, timezone
 from typing import Any
@@ -51,19 +53,71 @@ def sum_delta(before: dict[str, float], after: dict[str, float]) -> float:
 
 
 class Sampler:
-    """Counters of the JVM (the executors' too, in local mode) at phase boundaries."""
+    """Counters of the driver's JVM and of the executors; a thread follows the driver's heap every 200 ms.
 
-    def __init__(self, spark: SparkSession):
-        self.beans = spark._jvm.java.lang.management.ManagementFactory
+    In local mode the driver's JVM is the executor. On a cluster executors' figures come from Spark's status
+    store: CPU and collection times of the stages it retains, and the peak of each executor's heap since its
+    start (updated with its heartbeats).
+    """
+
+    EVERY_S = 0.2
 
-    def read(self) -> dict[str, float]:
+    def __init__(self, spark: SparkSession):
+        self.spark, self.beans = spark, spark._jvm.java.lang.management.ManagementFactory
+        self.store = spark._jsc.sc().statusStore()
+        self.local = bool(re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master))
+        self.peak = self.byte_seconds = 0.0
+        self.last: tuple[float, float] | None = None
+        self.done = threading.Event()
+        self.thread = threading.Thread(target=self._follow, daemon=True)
+
+    def start(self) -> Sampler:
+        self.note()
+        self.thread.start()
+        return self
+
+    def stop(self) -> None:
+        self.done.set()
+        self.thread.join()
+        self.note()
+
+    def _follow(self) -> None:
+        while not self.done.wait(self.EVERY_S):
+            self.note()
+
+    def note(self) -> None:
+        """One look at the heap: its peak, and its integral over time by trapezoids."""
+        now, used = time.monotonic(), float(self.beans.getMemoryMXBean().getHeapMemoryUsage().getUsed())
+        if self.last is not None:
+            self.byte_seconds += (now - self.last[0]) * (used + self.last[1]) / 2
+        self.peak, self.last = max(self.peak, used), (now, used)
+
+    def read(self) -> dict[str, Any]:
+        """The driver's CPU and collection times, and those of each retained stage where executors are processes of their own."""
         pools = self.beans.getGarbageCollectorMXBeans()
         gc = sum(max(0, pools[i].getCollectionTime()) for i in range(len(pools)))
-        runtime = self.beans.getRuntimeMXBean()
         threads = self.beans.getThreadMXBean()
-        ids = threads.getAllThreadIds()
-        cpu = sum(max(0, threads.getThreadCpuTime(i)) for i in ids)
-        return {"cpu": cpu, "gc": gc, "heap": self.beans.getMemoryMXBean().getHeapMemoryUsage().getUsed(), "up": runtime.getUptime()}
+        cpu = sum(max(0, threads.getThreadCpuTime(i)) for i in threads.getAllThreadIds())
+        out: dict[str, Any] = {"cpu": cpu, "gc": gc, "stage_cpu": {}, "stage_gc": {}}
+        if not self.local:
+            jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+            stages = self.store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+            for i in range(stages.size()):
+                stage = stages.apply(i)
+                key = f"{stage.stageId()}.{stage.attemptId()}"
+                out["stage_cpu"][key], out["stage_gc"][key] = stage.executorCpuTime(), stage.jvmGcTime()
+        return out
+
+    def executor_peaks(self) -> list[int]:
+        """The peak heap of each executor."""
+        if self.local:
+            return [int(self.peak)]
+        found, out = self.store.executorList(False), []
+        for i in range(found.size()):
+            one = found.apply(i)
+            if one.id() != "driver" and one.peakMemoryMetrics().isDefined():
+                out.append(int(one.peakMemoryMetrics().get().getMetricValue("JVMHeapMemory")))
+        return out
 
 
 def evaluate(labelled: DataFrame, metric: Metric, metrics: list[str], sample_size: int | None, seed: int) -> dict[str, Any]:
@@ -103,7 +157,7 @@ def execute(spark: SparkSession, config: RunConfig) -> dict[str, Any]:
     result: dict[str, Any] = {"runId": config.run_id, "framework": "spark", "profile": config.profile, "startedAtIso": _iso(started), "status": "ok", "algorithm": config.algorithm.name, "algorithmParams": Params(config.algorithm.params, "").as_strings(), "dataset": config.dataset.name, "datasetMetadata": Params(config.dataset.params, "").as_strings(), "engineConf": config.engine_conf, "experimentMetadata": config.metadata, "nRows": 0, "nPartitions": 0}
     phases = dict.fromkeys(("load", "fit", "eval"), 0)
     counters: list[dict[str, float]] = []
-    sampler, points, labelled = Sampler(spark), None, None
+    sampler, points, labelled = Sampler(spark).start(), None, None
     try:
         PROFILES.get(config.profile)
         for key, value in config.engine_conf.items():
@@ -131,6 +185,7 @@ def execute(spark: SparkSession, config: RunConfig) -> dict[str, Any]:
     except Exception as error:  # noqa: BLE001  every failure is a result
         result |= {"status": "failed", "errorMessage": f"{type(error).__name__}: {error}"[:2000]}
     finally:
+        sampler.stop()
         for x in (labelled, points):
             if x is not None:
                 x.unpersist()
@@ -140,13 +195,16 @@ def execute(spark: SparkSession, config: RunConfig) -> dict[str, Any]:
     if len(counters) > 1:
         delta = lambda key, a, b: int(max(0, b[key] - a[key]))
         steps = list(zip(("load", "fit", "eval"), counters, counters[1:], strict=False))
-        result["phaseCpuTimeNs"] = {p: delta("cpu", a, b) for p, a, b in steps}
-        result["phaseGcTimeMs"] = {p: delta("gc", a, b) for p, a, b in steps}
-        cpu, gc = sum(result["phaseCpuTimeNs"].values()), sum(result["phaseGcTimeMs"].values())
-        heap = int(max(c["heap"] for c in counters))
-        held = memory_gb_hours(sum((a["heap"] + b["heap"]) / 2 * (b["up"] - a["up"]) / 1000 for _, a, b in steps))
-        result |= {"jvmGcTimeMs": gc, "executorCpuTimeNs": cpu, "avgCpuCoresBusy": cores_busy(cpu, total), "cpuCoreHours": cpu_core_hours(cpu), "peakExecutorMemoryBytes": heap, "totalExecutorMemoryBytes": heap, "memoryGbHours": held}
-        result |= {"driverCpuTimeNs": cpu, "driverCpuCoreHours": cpu_core_hours(cpu), "driverPeakHeapBytes": heap, "driverGcTimeMs": gc, "driverMemoryGbHours": held}
+        own_cpu, own_gc = (sum(delta(key, a, b) for _, a, b in steps) for key in ("cpu", "gc"))
+        work = delta if sampler.local else lambda key, a, b: int(sum_delta(a[f"stage_{key}"], b[f"stage_{key}"]))
+        result["phaseCpuTimeNs"] = {p: work("cpu", a, b) for p, a, b in steps}
+        result["phaseGcTimeMs"] = {p: work("gc", a, b) for p, a, b in steps}
+        cpu, gc, peaks, held = sum(result["phaseCpuTimeNs"].values()), sum(result["phaseGcTimeMs"].values()), sampler.executor_peaks(), memory_gb_hours(sampler.byte_seconds)
+        result |= {"jvmGcTimeMs": gc, "executorCpuTimeNs": cpu, "avgCpuCoresBusy": cores_busy(cpu, total), "cpuCoreHours": cpu_core_hours(cpu)}
+        result |= {"driverCpuTimeNs": own_cpu, "driverCpuCoreHours": cpu_core_hours(own_cpu), "driverPeakHeapBytes": int(sampler.peak), "driverGcTimeMs": own_gc, "driverMemoryGbHours": held}
+        if peaks:
+            # an executor's integral over time is not known on a cluster: its peak stands for the whole run, an upper bound
+            result |= {"peakExecutorMemoryBytes": max(peaks), "totalExecutorMemoryBytes": sum(peaks), "memoryGbHours": held if sampler.local else memory_gb_hours(sum(peaks) * total / 1000)}
     return {k: result[k] for k in FIELDS if result.get(k) is not None}
 
 
