@@ -1,4 +1,4 @@
-"""k-medoids: FastPAM and FasterPAM on collected points, FastPAM over the cluster, CLARA and PAMAE.
+"""k-medoids: FastPAM and FasterPAM on a matrix or in ranges of candidates, FastPAM over the cluster, CLARA and PAMAE.
 
 The objective is Σ w·d to the nearest medoid. Candidates are rows; ties go to the lower row, and a
 swap must lower the objective.
@@ -6,11 +6,13 @@ swap must lower the objective.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import randomness
 from ..functions.vectors import EUCLIDEAN, Metric
@@ -21,10 +23,14 @@ from ..sources.points import PointSet
 from .kmeans import too_small
 from .models import PrototypeModel
 
-#: Bytes of candidates that distributed FastPAM gathers and broadcasts at most.
+#: Bytes of candidates that are gathered and broadcast at most.
 CANDIDATE_BYTES = 1 << 30
-#: Points that a driver-side distance matrix holds at most.
-LOCAL_POINTS = 12_000
+#: Points that a driver-side distance matrix holds at most (128 MB); beyond, tasks measure ranges of candidates.
+LOCAL_POINTS = 4_000
+#: Distances that the driver measures itself, where a job would cost more.
+DRIVER_DISTANCES = 20_000_000
+#: Points and candidates of one block in a task.
+SPREAD_BLOCK = (4096, 64)
 
 
 # ---------------------------------------------------------------- on one matrix
@@ -129,8 +135,144 @@ def fasterpam(d: np.ndarray, w: np.ndarray, k: int, max_iter: int = 100, seed: i
 INNER = {"fastpam": lambda d, w, k, max_iter, seed: fastpam(d, w, k, max_iter), "fasterpam": fasterpam}
 
 
+# ---------------------------------------------------------------- without a matrix
+class Spread:
+    """The same searches on collected points without their matrix: tasks sum over all points for ranges of candidates.
+
+    Rows of one place are one candidate, its least row, so that copies tie exactly. Each sum is made in
+    one task in a fixed order: the same bits on every run.
+    """
+
+    def __init__(self, spark: SparkSession, x: np.ndarray, w: np.ndarray, metric: Metric):
+        _, first, at = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        #: place of each row, least row of each place
+        self.place, self.row = number[at.ravel()], first[order]
+        self.spark, self.n, self.metric = spark, len(x), metric
+        self.x, self.w = x[self.row], np.bincount(self.place, w, len(order))
+        self.shared = spark.sparkContext.broadcast((self.x, self.w))
+
+    def sums(self, state: tuple[np.ndarray, ...], own: np.ndarray, width: int) -> np.ndarray:
+        """(width, len(own)): ``_spread_sums`` of the places ``own``, by the driver or in tasks."""
+        if len(own) * len(self.x) <= DRIVER_DISTANCES:
+            return _spread_sums(self.x, self.w, state, own, self.metric)
+        points, metric, told = self.shared, self.metric, self.spark.sparkContext.broadcast((state, own))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (x, w), (state, own) = points.value, told.value
+            for batch in batches:
+                made = _spread_sums(x, w, state, own[batch.column(0).to_numpy()], metric)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(made.T.ravel()), width).cast(pa.list_(pa.float64()))], ["i", "v"])
+
+        tasks = max(1, min(len(own), self.spark.sparkContext.defaultParallelism * 4))
+        table = self.spark.range(0, len(own), 1, tasks).mapInArrow(scan, "i long, v array<double>").toArrow().combine_chunks()
+        out = np.empty((len(own), width))
+        if table.num_rows:
+            out[table.column("i").to_numpy()] = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        told.destroy()
+        return out.T
+
+    def build(self, k: int) -> list[int]:
+        """As ``build``: rows; without a gain, the least row that is left."""
+        chosen: list[int] = []
+        near = None
+        for _ in range(k):
+            gain = self.sums(() if near is None else (near,), np.arange(len(self.x)), 1)[0]
+            taken = self.place[chosen]
+            if near is not None:
+                gain[taken] = 0.0
+            best = int(gain.argmax())
+            if near is not None and not gain[best] > 0:
+                chosen.append(next(r for r in range(self.n) if r not in chosen))
+            else:
+                chosen.append(int(self.row[best]))
+            d = self.metric.pairwise(self.x, self.x[self.place[chosen[-1:]]])[:, 0]
+            near = d if near is None else np.minimum(near, d)
+        return chosen
+
+    def deltas(self, medoids: list[int], own: np.ndarray) -> np.ndarray:
+        """Change of the objective for each (slot, place of ``own``)."""
+        to = self.metric.pairwise(self.x, self.x[self.place[medoids]])
+        every, slot = np.arange(len(to)), to.argmin(1)
+        first = to[every, slot]
+        to[every, slot] = np.inf
+        second = to.min(1) if len(medoids) > 1 else np.full(len(to), np.finfo(float).max)
+        return self.sums((first, second, slot, np.arange(len(medoids))), own, len(medoids))
+
+    def fastpam(self, k: int, max_iter: int = 100, seed: int = 42) -> list[int]:
+        medoids = self.build(k)
+        for _ in range(max_iter):
+            # a copy of a medoid lowers nothing
+            own = np.setdiff1d(np.arange(len(self.x)), self.place[medoids])
+            if not len(own):
+                break
+            slot, at, change = best_swap(self.deltas(medoids, own))
+            if not change < 0:
+                break
+            medoids[slot] = int(self.row[own[at]])
+        return medoids
+
+    def fasterpam(self, k: int, max_iter: int = 100, seed: int = 42) -> list[int]:
+        """Candidates are measured ahead in growing blocks; what follows a swap is measured anew."""
+        medoids, order = self.build(k), np.array(randomness.permutation(self.n, seed))
+        for _ in range(max_iter):
+            improved, at, ahead = False, 0, 32
+            while at < self.n:
+                rows = order[at : at + ahead]
+                own, back = np.unique(self.place[rows], return_inverse=True)
+                deltas = self.deltas(medoids, own)
+                deltas[:, np.isin(own, self.place[medoids])] = 0.0
+                better = np.flatnonzero(deltas.min(0)[back] < 0)
+                if len(better):
+                    medoids[int(deltas[:, back[better[0]]].argmin())] = int(rows[better[0]])
+                    improved, at, ahead = True, at + int(better[0]) + 1, 32
+                else:
+                    at, ahead = at + len(rows), ahead * 4
+            if not improved:
+                break
+        return medoids
+
+    def close(self) -> None:
+        self.shared.destroy()
+
+
+def _spread_sums(x: np.ndarray, w: np.ndarray, state: tuple[np.ndarray, ...], own: np.ndarray, metric: Metric) -> np.ndarray:
+    """For each candidate of ``own``: minus its total distance (no state), its gain (near), or its change by slot."""
+    out = np.zeros((max(1, len(state[3])) if len(state) > 1 else 1, len(own)))
+    for c in range(0, len(own), SPREAD_BLOCK[1]):
+        to = slice(c, c + SPREAD_BLOCK[1])
+        for s in range(0, len(x), SPREAD_BLOCK[0]):
+            at = slice(s, s + SPREAD_BLOCK[0])
+            d = metric.pairwise(x[at], x[own[to]])
+            if not state:
+                out[0, to] -= w[at] @ d
+            elif len(state) == 1:
+                out[0, to] += w[at] @ np.maximum(state[0][at, None] - d, 0)
+            else:
+                first, second, slot, slots = state
+                d -= first[at, None]
+                gain = np.minimum(d, 0)
+                np.minimum(d, (second[at] - first[at])[:, None], out=d)
+                d -= gain
+                out[:, to] += w[at] @ gain + (np.where(slot[at] == slots[:, None], w[at], 0.0) @ d)
+    return out
+
+
+def solve(spark: SparkSession, x: np.ndarray, w: np.ndarray, metric: Metric, k: int, max_iter: int, seed: int, solver: str) -> list[int]:
+    """The medoids' rows, by a matrix where it is small enough."""
+    if len(x) <= LOCAL_POINTS:
+        return INNER[solver](metric.pairwise(x, x), w, k, max_iter, seed).medoids
+    spread = Spread(spark, x, w, metric)
+    try:
+        return getattr(spread, solver)(k, max_iter, seed)
+    finally:
+        spread.close()
+
+
 class LocalMedoids:
-    """FastPAM or FasterPAM on all points, collected to the driver (a bounded number)."""
+    """FastPAM or FasterPAM on all points, collected to the driver."""
 
     def __init__(self, k: int, metric: Metric = EUCLIDEAN, max_iter: int = 100, seed: int = 42, solver: str = "fastpam"):
         self.k, self.metric, self.max_iter, self.seed, self.solver = k, metric, max_iter, seed, solver
@@ -139,11 +281,10 @@ class LocalMedoids:
         n = points.count()
         if n < self.k:
             raise too_small(n, self.k)
-        if n > LOCAL_POINTS:
-            raise ValueError(f"{self.solver} holds a distance matrix of all points: {n} are too many (at most {LOCAL_POINTS}); use distfastpam, clara or pamae")
+        if 8 * n * (points.dimension() or 0) > CANDIDATE_BYTES:
+            raise ValueError(f"{self.solver} makes all {n} points candidates: more than {CANDIDATE_BYTES} bytes; use clara or pamae")
         _, x, w = points.collect()
-        near = INNER[self.solver](self.metric.pairwise(x, x), w, self.k, self.max_iter, self.seed)
-        return PrototypeModel(x[near.medoids], self.metric)
+        return PrototypeModel(x[solve(points.df.sparkSession, x, w, self.metric, self.k, self.max_iter, self.seed, self.solver)], self.metric)
 
 
 # ---------------------------------------------------------------- over the cluster
@@ -258,8 +399,7 @@ class Clara:
         for s, (x, w) in enumerate(samples):
             if len(x) < self.k:
                 raise ValueError(f"sample {s} has {len(x)} rows for k={self.k}")
-            near = INNER[self.inner](self.metric.pairwise(x, x), w, self.k, self.max_iter, self.seed)
-            sets.append(x[near.medoids])
+            sets.append(x[solve(df.sparkSession, x, w, self.metric, self.k, self.max_iter, self.seed, self.inner)])
         costs = set_costs(df, sets, self.metric)
         best = int(costs.argmin())
         return Seeded(sets[best], float(costs[best]), pool)

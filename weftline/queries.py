@@ -431,13 +431,15 @@ def distfastpam_small(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, medoids.DistributedFastPAM(3, max_iter=SWAPS).fit(P.PointSet(suppliers(spark, d))).prototypes)
 
 
-#: CLARA and PAMAE take a table that is no larger than a sample as a whole, so that their results have an SQL form.
-WHOLE = medoids.LOCAL_POINTS
+def _whole(points: P.PointSet) -> dict[str, int]:
+    """CLARA and PAMAE take a table that is no larger than a sample as a whole, so that their results have an SQL form."""
+    return {"num_samples": 2, "sample_size": max(12_000, points.count()), "max_iter": SWAPS}
 
 
 @query(f"{_swaps_sql(SWAPS)} {_medoid_rows_sql(f'm{SWAPS}')}")
 def clara_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, medoids.Clara(3, num_samples=2, sample_size=WHOLE, max_iter=SWAPS).fit(P.PointSet(suppliers(spark, d))).prototypes)
+    points = P.PointSet(suppliers(spark, d))
+    return _vectors(spark, medoids.Clara(3, **_whole(points)).fit(points).prototypes)
 
 
 REFINE_SQL = f"""{_swaps_sql(SWAPS)}, cell AS (SELECT x, any_value(w) AS w, arg_min(slot, (d, slot)) AS slot, min(d) AS d FROM pd JOIN m{SWAPS} USING (c) GROUP BY x),
@@ -449,8 +451,9 @@ refined AS (SELECT slot, CASE WHEN now.total < was.total THEN pick.c ELSE m.c EN
 
 @query(f"{REFINE_SQL} {_medoid_rows_sql('refined')}")
 def pamae_whole(spark: SparkSession, d: str) -> DataFrame:
-    fitted = medoids.Pamae(3, num_samples=2, sample_size=WHOLE, max_iter=SWAPS, refine_iters=1, pool_size=WHOLE).fit(P.PointSet(suppliers(spark, d)))
-    return _vectors(spark, fitted.prototypes)
+    points = P.PointSet(suppliers(spark, d))
+    whole = _whole(points)
+    return _vectors(spark, medoids.Pamae(3, **whole, refine_iters=1, pool_size=whole["sample_size"]).fit(points).prototypes)
 
 
 SETS_SQL = "sets AS (SELECT CAST(rid % 4 AS INTEGER) AS set, v AS c FROM s)"
