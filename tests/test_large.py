@@ -46,3 +46,14 @@ def test_searches_without_a_matrix_equal_those_on_one(spark, monkeypatch, by_dri
         assert np.array_equal(x[spread.fasterpam(4, seed=3)], x[M.fasterpam(d, w, 4, seed=3).medoids])
     few = np.repeat([[0.0], [1.0]], [4, 1], 0)
     assert M.Spread(spark, few, np.ones(5), EUCLIDEAN).build(4) == M.build(EUCLIDEAN.pairwise(few, few), np.ones(5), 4)
+
+
+def test_swap_deltas_without_a_matrix(spark, copies, monkeypatch):
+    d, x, w = copies
+    monkeypatch.setattr(M, "build", refuse)
+    rows = Q.swap_deltas(spark, d).collect()
+    assert len(rows) == 3 * (12_500 - 3) and len({(r["slot"], r["rid"]) for r in rows}) == len(rows)
+    monkeypatch.undo()
+    dist = EUCLIDEAN.pairwise(x, x)
+    want = M.swap_deltas(dist, w, M.Nearest(dist, M.build(dist, w, 3)), np.arange(25))
+    assert np.allclose([r["delta"] for r in rows], [want[r["slot"], r["rid"] % 25] for r in rows], rtol=1e-9, atol=1e-3)

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,11 +386,13 @@ SELECT CAST(m.slot AS INTEGER) AS slot, sh.c AS rid, round(shared + coalesce(los
 )
 def swap_deltas(spark: SparkSession, d: str) -> DataFrame:
     rid, x, w = _supplier_points(spark, d)
-    dist = V.EUCLIDEAN.pairwise(x, x)
-    chosen = medoids.build(dist, w, 3)
-    deltas = medoids._objective_sums(suppliers(spark, d), x, x[chosen], V.EUCLIDEAN, "swap")
-    rows = [(s, int(rid[c]), float(deltas[s, c])) for s in range(3) for c in range(len(x)) if c not in chosen]
-    return spark.createDataFrame(rows, "slot int, rid long, delta double").select("slot", "rid", F.round("delta", 4).alias("delta"))
+    spread = medoids.Spread(spark, x, w, V.EUCLIDEAN)
+    chosen = spread.build(3)
+    deltas = spread.deltas(chosen, np.arange(len(spread.x)))
+    spread.close()
+    left = np.setdiff1d(np.arange(len(x)), chosen)
+    rows = pa.table({"slot": pa.array(np.repeat(np.arange(3, dtype=np.int32), len(left))), "rid": pa.array(np.tile(rid[left], 3)), "delta": pa.array(deltas[:, spread.place[left]].ravel())})
+    return spark.createDataFrame(rows).select("slot", "rid", F.round("delta", 4).alias("delta"))
 
 
 def _swaps_sql(swaps: int) -> str:
