@@ -57,3 +57,12 @@ def test_swap_deltas_without_a_matrix(spark, copies, monkeypatch):
     dist = EUCLIDEAN.pairwise(x, x)
     want = M.swap_deltas(dist, w, M.Nearest(dist, M.build(dist, w, 3)), np.arange(25))
     assert np.allclose([r["delta"] for r in rows], [want[r["slot"], r["rid"] % 25] for r in rows], rtol=1e-9, atol=1e-3)
+
+
+def test_pamae_whole_takes_every_row(spark, copies, monkeypatch):
+    d, x, w = copies
+    monkeypatch.setattr(M, "draw_samples", refuse)
+    got = values(Q.pamae_whole(spark, d))
+    dist = EUCLIDEAN.pairwise(x, x)
+    cost = lambda m: (w * EUCLIDEAN.pairwise(x, m).min(1)).sum()
+    assert cost(got) <= cost(x[M.fastpam(dist, w, 3, Q.SWAPS).medoids]) * (1 + 1e-12)
