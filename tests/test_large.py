@@ -66,3 +66,16 @@ def test_pamae_whole_takes_every_row(spark, copies, monkeypatch):
     dist = EUCLIDEAN.pairwise(x, x)
     cost = lambda m: (w * EUCLIDEAN.pairwise(x, m).min(1)).sum()
     assert cost(got) <= cost(x[M.fastpam(dist, w, 3, Q.SWAPS).medoids]) * (1 + 1e-12)
+
+
+def test_best_swap_without_a_matrix(spark, copies, monkeypatch):
+    d, x, w = copies
+    monkeypatch.setattr(M, "build", refuse)
+    best = Q.swap_best_move(spark, d).first()
+    monkeypatch.undo()
+    dist = EUCLIDEAN.pairwise(x, x)
+    chosen = M.build(dist, w, 3)
+    deltas = M.swap_deltas(dist, w, M.Nearest(dist, chosen), np.arange(25))
+    deltas[:, chosen] = np.inf
+    slot, at, change = M.best_swap(deltas)
+    assert (best["slot"], best["rid"]) == (slot, at) and best["delta"] == pytest.approx(change, rel=1e-9)

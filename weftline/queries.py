@@ -410,11 +410,13 @@ def _swaps_sql(swaps: int) -> str:
 @query(f"{_swaps_sql(1)} SELECT CAST(slot AS INTEGER) AS slot, c AS rid, round(delta, 4) AS delta FROM best0")
 def swap_best_move(spark: SparkSession, d: str) -> DataFrame:
     rid, x, w = _supplier_points(spark, d)
-    chosen = medoids.build(V.EUCLIDEAN.pairwise(x, x), w, 3)
-    deltas = medoids._objective_sums(suppliers(spark, d), x, x[chosen], V.EUCLIDEAN, "swap")
-    deltas[:, chosen] = np.inf
-    slot, c, change = medoids.best_swap(deltas)
-    return spark.createDataFrame([(slot, int(rid[c]), change)], "slot int, rid long, delta double").select("slot", "rid", F.round("delta", 4).alias("delta"))
+    spread = medoids.Spread(spark, x, w, V.EUCLIDEAN)
+    chosen = spread.build(3)
+    # a place's least row that is no medoid itself: what the SQL's order takes
+    left = np.setdiff1d(np.arange(len(x)), chosen)
+    slot, c, change = medoids.best_swap(spread.deltas(chosen, np.arange(len(spread.x)))[:, spread.place[left]])
+    spread.close()
+    return spark.createDataFrame([(slot, int(rid[left[c]]), change)], "slot int, rid long, delta double").select("slot", "rid", F.round("delta", 4).alias("delta"))
 
 
 def _medoid_rows_sql(cte: str) -> str:
