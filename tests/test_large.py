@@ -79,3 +79,10 @@ def test_best_swap_without_a_matrix(spark, copies, monkeypatch):
     deltas[:, chosen] = np.inf
     slot, at, change = M.best_swap(deltas)
     assert (best["slot"], best["rid"]) == (slot, at) and best["delta"] == pytest.approx(change, rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["fastpam_small"])
+def test_fits_of_more_points_than_a_matrix_holds(spark, copies, name):
+    d, x, _ = copies
+    rows = Q.QUERIES[name](spark, d).collect()
+    assert sum(r["rows"] for r in rows) == 12_500 if name.endswith("fit") else len(rows) == 6
