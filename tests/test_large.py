@@ -81,7 +81,7 @@ def test_best_swap_without_a_matrix(spark, copies, monkeypatch):
     assert (best["slot"], best["rid"]) == (slot, at) and best["delta"] == pytest.approx(change, rel=1e-9)
 
 
-@pytest.mark.parametrize("name", ["fastpam_small", "fasterpam_fit"])
+@pytest.mark.parametrize("name", ["fastpam_small", "fasterpam_fit", "fastpam_fit"])
 def test_fits_of_more_points_than_a_matrix_holds(spark, copies, name):
     d, x, _ = copies
     rows = Q.QUERIES[name](spark, d).collect()
