@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from weftline import queries as Q
-from weftline.functions.vectors import EUCLIDEAN
+from weftline.functions.vectors import EUCLIDEAN, MANHATTAN
+from weftline.operators import epsilon
+from weftline.plans import dbscan, models
 from weftline.plans import medoids as M
 from weftline.sources import points as P
 
@@ -86,3 +88,68 @@ def test_fits_of_more_points_than_a_matrix_holds(spark, copies, name):
     d, x, _ = copies
     rows = Q.QUERIES[name](spark, d).collect()
     assert sum(r["rows"] for r in rows) == 12_500 if name.endswith("fit") else len(rows) == 6
+
+
+def scattered(spark, n=400):
+    """Points at few places and far from all, two without a place."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([np.round(rng.normal(size=(n - 42, 2)) * 2, 1), rng.uniform(-300, 300, (40, 2)), [[np.nan, 0], [np.inf, 1]]])
+    return x, P.from_rows(spark, x, rng.integers(0, 4, n).astype(float), 3).df
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", [EUCLIDEAN, MANHATTAN])
+def test_edges_meet_once_and_nothing_is_broadcast(spark, metric):
+    x, df = scattered(spark)
+    got = epsilon.grid_pairs(df, 0.75, metric)
+    assert "Broadcast" not in plan(got)
+    i, j = np.nonzero(metric.within_pairs(x, x, 0.75))
+    assert sorted(map(tuple, got.collect())) == sorted(zip(i[i < j].tolist(), j[i < j].tolist(), strict=True))
+
+
+def test_nearest_core_at_any_distance_on_grids(spark, monkeypatch):
+    x, df = scattered(spark)
+    want = dbscan.DBSCANpp(0.7, 6, 1.0, assign="closest").fit(P.PointSet(df)).transform(df).orderBy("rid").collect()
+    monkeypatch.setattr(dbscan, "MOST_DISTANCES", 0)
+    for most in (0, 1 << 40):
+        monkeypatch.setattr(models, "FAR_DISTANCES", most)
+        model = dbscan.DBSCANpp(0.7, 6, 1.0, assign="closest").fit(P.PointSet(df))
+        assert model.grid is not None and model.num_clusters > 1
+        assert [r["label"] for r in model.transform(df).orderBy("rid").collect()] == [r["label"] for r in want]
+
+
+@pytest.mark.parametrize("metric", [EUCLIDEAN, MANHATTAN])
+def test_mass_on_cells_without_a_join_of_all_pairs(spark, metric):
+    x, df = scattered(spark)
+    got = epsilon.mass_within_table(df, df, 0.75, metric)
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    _, _, w = P.PointSet(df).collect()
+    want = metric.within_pairs(x, x, 0.75) @ w
+    assert [r["mass"] for r in got.orderBy("cid").collect()] == want.tolist()
+
+
+@pytest.fixture
+def part_table(spark, tmp_path):
+    """700 parts at 35 places."""
+    rng = np.random.default_rng(4)
+    places = [(int(s), 900 + float(p)) for s, p in zip(rng.integers(1, 40, 35), rng.integers(0, 30, 35), strict=True)]
+    spark.createDataFrame([(i, *places[i % 35]) for i in range(700)], "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path), np.array([[s, p - 900] for s, p in places])[np.arange(700) % 35]
+
+
+def test_components_come_from_cells(spark, part_table, monkeypatch):
+    d, x = part_table
+    monkeypatch.setattr(epsilon, "grid_pairs", refuse)
+    got = {r["rid"]: r["component"] for r in Q.eps_components(spark, d).collect()}
+    number = epsilon.core_components(spark, x, Q.EPS, EUCLIDEAN)
+    assert got == {i: int(np.flatnonzero(number == c)[0]) for i, c in enumerate(number)} and len(set(got.values())) > 1
+
+
+def test_counts_stay_in_tables(spark, part_table, monkeypatch):
+    d, x = part_table
+    monkeypatch.setattr(P.PointSet, "collect", refuse)
+    want = EUCLIDEAN.within_pairs(x, x, Q.EPS).sum(1)
+    assert [r["n"] for r in Q.eps_counts(spark, d).orderBy("rid").collect()] == want.tolist()
