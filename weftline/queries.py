@@ -505,9 +505,7 @@ comp AS (SELECT rid, min(root) AS root FROM reach GROUP BY rid), num AS (SELECT
 @query(f"WITH {DENSE_SQL} SELECT rid, n FROM n")
 def eps_counts(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d).select("rid", "features", "weight")
-    rid, x, _ = P.PointSet(df).collect()
-    mass = epsilon.mass_within(df, x, EPS, V.EUCLIDEAN)
-    return spark.createDataFrame([(int(r), int(m)) for r, m in zip(rid, mass, strict=True)], "rid long, n long")
+    return epsilon.mass_within_table(df, df, EPS, V.EUCLIDEAN).select(F.col("cid").alias("rid"), F.col("mass").cast("long").alias("n"))
 
 
 @query(f"WITH {DENSE_SQL} SELECT rid, round(mass, 6) AS mass FROM n")
