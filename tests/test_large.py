@@ -91,6 +91,17 @@ def test_fits_of_more_points_than_a_matrix_holds(spark, copies, name):
     assert sum(r["rows"] for r in rows) == 12_500 if name.endswith("fit") else len(rows) == 6
 
 
+def test_pamae_whole_refines_by_every_row(spark, copies, monkeypatch):
+    """On no matrix of the sample."""
+    d, x, w = copies
+    monkeypatch.setitem(M.INNER, "fastpam", refuse)
+    dist = EUCLIDEAN.pairwise(x, x)
+    medoids = M.fastpam(dist, w, 3, Q.SWAPS).medoids
+    cell, cost = dist[:, medoids].argmin(1), lambda m: (w * dist[:, m].min(1)).sum()
+    pick = [min(np.flatnonzero(cell == j), key=lambda c, own=cell == j: (w * dist[c])[own].sum()) for j in range(3)]
+    assert np.array_equal(values(Q.pamae_whole(spark, d)), x[pick if cost(pick) < cost(medoids) else medoids])
+
+
 def scattered(spark, n=400):
     """Points at few places and far from all, two without a place."""
     rng = np.random.default_rng(11)
