@@ -102,6 +102,11 @@ def test_pamae_whole_refines_by_every_row(spark, copies, monkeypatch):
     assert np.array_equal(values(Q.pamae_whole(spark, d)), x[pick if cost(pick) < cost(medoids) else medoids])
 
 
+def test_fastpam_small_equals_the_search_on_places(spark, copies):
+    d, x, w = copies
+    assert np.array_equal(values(Q.fastpam_small(spark, d)), x[M.fastpam(EUCLIDEAN.pairwise(x, x), w, 3, Q.SWAPS).medoids])
+
+
 def scattered(spark, n=400):
     """Points at few places and far from all, two without a place."""
     rng = np.random.default_rng(11)
