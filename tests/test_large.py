@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import queries as Q
+from weftline.functions import randomness
 from weftline.functions.vectors import COSINE, EUCLIDEAN, MANHATTAN, UNIT_SPHERE
 from weftline.operators import epsilon, evaluate, pairs
 from weftline.plans import dbscan, models
@@ -107,6 +108,24 @@ def test_fastpam_small_equals_the_search_on_places(spark, copies):
     assert np.array_equal(values(Q.fastpam_small(spark, d)), x[M.fastpam(EUCLIDEAN.pairwise(x, x), w, 3, Q.SWAPS).medoids])
 
 
+def sizes(df):
+    return [r["rows"] for r in df.orderBy("label").collect()]
+
+
+def test_fasterpam_fit_makes_the_swaps_of_one_by_one(spark, copies):
+    d, x, w = copies
+    dist, improved = EUCLIDEAN.pairwise(x, x), True
+    near = M.Nearest(dist, M.build(dist, w, 3))
+    while improved:
+        improved = False
+        for c in np.array(randomness.permutation(12_500, 42)) % 25:
+            slot, _, change = M.best_swap(M.swap_deltas(dist, w, near, np.array([c])))
+            if c not in near.medoids and change < 0:
+                near.swap(slot, c)
+                improved = True
+    assert sizes(Q.QUERIES["fasterpam_fit"](spark, d)) == (500 * np.bincount(near.slot)).tolist()
+
+
 def scattered(spark, n=400):
     """Points at few places and far from all, two without a place."""
     rng = np.random.default_rng(11)
