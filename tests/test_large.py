@@ -126,6 +126,11 @@ def test_fasterpam_fit_makes_the_swaps_of_one_by_one(spark, copies):
     assert sizes(Q.QUERIES["fasterpam_fit"](spark, d)) == (500 * np.bincount(near.slot)).tolist()
 
 
+def test_fastpam_fit_equals_the_search_on_places(spark, copies):
+    d, x, w = copies
+    assert sizes(Q.QUERIES["fastpam_fit"](spark, d)) == (500 * np.bincount(M.fastpam(EUCLIDEAN.pairwise(x, x), w, 3).slot)).tolist()
+
+
 def scattered(spark, n=400):
     """Points at few places and far from all, two without a place."""
     rng = np.random.default_rng(11)
