@@ -226,6 +226,36 @@ def test_pairs_meet_once_through_chunks(spark, embedding_table):
     assert pairs.distance_rows(df.withColumn("features", F.slice("features", 1, (F.col("rid") % 3 + F.col("label") + 1).cast("int"))), EUCLIDEAN) is None
 
 
+@pytest.mark.parametrize(("name", "metric"), [("dist_euclidean", EUCLIDEAN)])
+def test_equal_distances_stand_together(spark, embedding_table, monkeypatch, name, metric):
+    """Every task hands on the pairs of a tile in order of their distances, each pair once, through one tile or many."""
+    d, x = embedding_table
+    want = metric.pairwise(x, x)
+    for tile in (1 << 24, 60):
+        monkeypatch.setattr(pairs, "TILE", tile)
+        rows = Q.QUERIES[name](spark, d).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r["a"], r["b"]) for r in rows) == [(3 * a, 3 * b) for a in range(120) for b in range(a + 1, 120)]
+        assert all(abs(r["d"] - want[r["a"] // 3, r["b"] // 3]) < 6e-7 for r in rows)
+        by_task = [[r["d"] for r in rows if r["task"] == k] for k in {r["task"] for r in rows}]
+        assert tile == 60 or len(by_task) > 1 and all(own == sorted(own) for own in by_task)
+
+
+def test_pairs_without_order_are_kept():
+    """Distances that are no numbers, infinite, too far for a key or below zero."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(50, 9))
+    x[3, 0], x[8, 1], x[20], x[31, 2] = np.nan, np.inf, 1e8, 1e300
+    a = np.arange(0, 100, 2)
+    for metric in (EUCLIDEAN, MANHATTAN, COSINE, UNIT_SPHERE):
+        with np.errstate(all="ignore"):
+            pieces = list(pairs.by_distance(a, x, a, x, a > a[:, None], metric, (7, 11)))
+            want = metric.pairwise(x, x)
+        got = {(i, j): d for p in pieces for i, j, d in zip(*p, strict=True)}
+        assert sum(len(p[0]) for p in pieces) == len(got) and sorted(got) == [(i, j) for i in a for j in a[a > i]]
+        at = np.array([(i // 2, j // 2) for i, j in got])
+        assert np.allclose(list(got.values()), want[at[:, 0], at[:, 1]], rtol=1e-9, atol=6e-7, equal_nan=True)
+
+
 def test_products_lose_no_digits():
     rng = np.random.default_rng(3)
     x = 1e4 + rng.normal(size=(40, 64)) * np.array([1e-6, 1.0])[np.arange(40) % 2, None]
