@@ -226,7 +226,7 @@ def test_pairs_meet_once_through_chunks(spark, embedding_table):
     assert pairs.distance_rows(df.withColumn("features", F.slice("features", 1, (F.col("rid") % 3 + F.col("label") + 1).cast("int"))), EUCLIDEAN) is None
 
 
-@pytest.mark.parametrize(("name", "metric"), [("dist_euclidean", EUCLIDEAN), ("dist_manhattan", MANHATTAN), ("dist_cosine", COSINE)])
+@pytest.mark.parametrize(("name", "metric"), [("dist_euclidean", EUCLIDEAN), ("dist_manhattan", MANHATTAN), ("dist_cosine", COSINE), ("dist_unit_sphere", UNIT_SPHERE)])
 def test_equal_distances_stand_together(spark, embedding_table, monkeypatch, name, metric):
     """Every task hands on the pairs of a tile in order of their distances, each pair once, through one tile or many."""
     d, x = embedding_table
